@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm import bpe, chat, decontamination, html_text, minhash, quality
+from webstrata.llm import bpe, chat, chunk_dedup, decontamination, html_text, minhash, quality, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """`tokenizer`: path of the vocabulary; the public byte-level file where it is not given."""
     if tokenizer is None:
@@ -40,6 +44,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return bpe.tokenise(_table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
