@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm import bpe, chat, chunk_dedup, decontamination, html_text, minhash, quality, suffix_dedup
+from webstrata.llm import bpe, chat, chunk_dedup, decontamination, html_text, minhash, quality, shared, suffix_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.seed_labels(pages))
+
+
 def op5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.dedup_report(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,13 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.folder(spark)
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    warc.build_index(spark, folder)
+    return warc.read_back(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
