@@ -40,13 +40,15 @@ def op5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.dedup_report(_table(spark, sf_dir, "documents"))
 
 
-def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """`tokenizer`: path of the vocabulary; the public byte-level file where it is not given."""
-    if tokenizer is None:
-        import public_tokenizers
+def default_tokenizer() -> str:
+    """The public byte-level vocabulary of 50,257 tokens that the machine provides."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
-        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.tokenise(_table(spark, sf_dir, "documents"), tokenizer)
+
+def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return bpe.tokenise(_table(spark, sf_dir, "documents"), tokenizer or default_tokenizer())
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

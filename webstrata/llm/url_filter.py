@@ -23,9 +23,9 @@ TREES, DEPTH = 10, 3
 #: Fixed values: (host suffix, path prefix, verdict) of the rules.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
-#: Registered names that the labelled urls come from; a host counts as labelled
-#: `block` if it is one of these or below one.
-SEED_BLOCKED = ("ads-track.example.org", "adult-x.example.net", "casino-win.example.org", "cheap-pills.example.com", "free-bets.example.com", "spam-farm.example.org")
+#: Names of known bad sites; a url counts as labelled `block` if a label of its
+#: host is one of these, whatever domain it is registered under, and else as labelled `allow`.
+SEED_BLOCKED = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,7 +86,7 @@ def _prepared(urls: DataFrame) -> DataFrame:
 def seed_labels(pages: DataFrame, url_col: str = "url") -> DataFrame:
     """(url, label): the urls with a host, labelled 1 where the host is of SEED_BLOCKED, else 0."""
     h = host(F.col(url_col).cast("string"))
-    bad = functools.reduce(lambda a, b: a | b, (below(h, s) for s in SEED_BLOCKED))
+    bad = F.arrays_overlap(F.split(h, r"\."), F.array(*map(F.lit, SEED_BLOCKED)))
     return pages.where(h != "").select(F.col(url_col).cast("string").alias("url"), bad.cast("double").alias("label"))
 
 
