@@ -28,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webstrata.llm.shared import written
 from webstrata.llm.textbytes import NULL_ID
 
 SHARD_BYTES = 64 << 20
 BLOCK_LINES = 1000
 MIN_SHARED_BYTES = 0
+BROADCAST_ROWS = 1_000_000
+"""Most revisits, of 16 bytes each, that are sent to all executors; more are joined by a shuffle."""
 DIRECTORY_ROWS = 2_000_000
 """Most directory rows that a lookup keeps in the driver; beyond, Spark searches the Parquet directory."""
 
@@ -139,7 +142,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = MIN_SHARED_BYTES,
     Null html is an empty payload; a null url gives a record without target; a null page_id
     counts as the smallest. Of equal payloads the row with the largest page_id is the
     response (repeated rows of it all are), the others are revisits of it."""
-    twice = revisits(pages, least)
+    twice = written(revisits(pages, least))
+    if twice.count() <= BROADCAST_ROWS:
+        twice = F.broadcast(twice)
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,34 +289,39 @@ def index_lines(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, f"{folder}/index").mapInArrow(run, "key string, page long, path string, offset long, length long")
 
 
-def read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per capture of the index, its record read from its range of the archive:
-    page_id, payload_bytes, payload_digest, record_type, refers_to, url_key.
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    """What each record of the archives holds: path, offset, length, page, payload_bytes,
+    payload_digest, record_type, refers_to. Payloads don't leave the task that reads them.
 
     Of responses size and digest are computed from the payload, of revisits they are the
     record's own. A record that disagrees with its digest header is an error."""
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    names = ["path", "offset", "length", "page", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                content, out = batch.column(0)[k].as_py(), []
-                for line in batch.column(1)[k].as_py():
-                    headers, block = parse(zlib.decompress(content[line["offset"] : line["offset"] + line["length"]], 31))
+                path, out = batch.column(0)[k].as_py(), []
+                for offset, length, record in members(batch.column(1)[k].as_py()):
+                    headers, block = parse(record)
+                    if (page := _page_of(headers.get("warc-record-id"))) is None:
+                        continue
                     http, _, payload = block.partition(b"\r\n\r\n")
                     stated = headers["warc-payload-digest"].removeprefix("sha1:")
                     size = int(next(x for x in http.decode().split("\r\n") if x.lower().startswith("content-length:")).split(":")[1])
                     kind = headers["warc-type"]
                     if kind == "response" and (payload_digest(payload), len(payload)) != (stated, size):
                         raise ValueError(f"record {headers['warc-record-id']} doesn't have the payload that its headers state")
-                    out.append((_shown(_page_of(headers["warc-record-id"])), size, stated, kind, _shown(_page_of(headers.get("warc-refers-to"))), line["key"]))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key"])
+                    out.append((path, offset, length, page, size, stated, kind, _page_of(headers.get("warc-refers-to"))))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
-    lines = index_lines(spark, folder).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "key"))).alias("lines"))
-    return _read(spark, f"{folder}/archives").join(lines, "path").select("content", "lines").mapInArrow(
-        run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string"
-    )
+    return _read(spark, f"{folder}/archives").mapInArrow(run, "path string, offset long, length long, page long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def _shown(page: int | None) -> int | None:
-    return None if page == NULL_ID else page
+def read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per capture of the index, with the record that stands at its range of the archive:
+    page_id, payload_bytes, payload_digest, record_type, refers_to, url_key. See `records`."""
+    shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias("page_id" if c == "page" else c)
+    found = index_lines(spark, folder).join(records(spark, folder), ["path", "offset", "length", "page"])
+    return found.select(shown("page"), "payload_bytes", "payload_digest", "record_type", shown("refers_to"), F.col("key").alias("url_key"))
