@@ -47,7 +47,7 @@ def surt(url: Column) -> Column:
 
 def comparison_key(url: Column) -> Column:
     """Key under which urls count as the same page: `surt` in lower case without a closing slash; null for urls without a host."""
-    key = F.regexp_replace(F.lower(surt(url)), r"(?<!\))/+$", "")
+    key = F.regexp_replace(F.lower(surt(url)), "/+$", "")
     return F.when(host(add_implicit_scheme(F.trim(url))) != "", key)
 
 
@@ -130,10 +130,10 @@ def map_aliases(maps: DataFrame, prefix: str) -> DataFrame:
 
     Lines read `target^^path`. A primary alias is the path below the instance; a secondary
     one is the target's own address below it, where no primary alias of the instance covers it."""
-    fields = F.split(F.trim(F.col("line")), r"\^\^")
+    parts = F.split(F.trim(F.col("line")), r"\^\^")
     base = F.concat(F.lit(prefix), F.col("instance"), F.lit("/"))
-    lines = maps.select("instance", F.explode(F.split("body", "\r?\n")).alias("line")).where(F.size(fields) >= 2)
-    primary = lines.select("instance", clean_url(add_implicit_scheme(fields[0])).alias("target"), clean_url(F.concat(base, mirror_path(fields[1], F.col("instance")))).alias("alias"))
+    lines = maps.select("instance", F.explode(F.split("body", "\r?\n")).alias("line")).where(F.size(parts) >= 2)
+    primary = lines.select("instance", clean_url(add_implicit_scheme(F.get(parts, 0))).alias("target"), clean_url(F.concat(base, mirror_path(F.get(parts, 1), F.col("instance")))).alias("alias"))
     primary = primary.where(sane(F.col("target")) & sane(F.col("alias")))
     secondary = primary.select("instance", "target", F.concat(base, remove_scheme(F.col("target"))).alias("alias")).where(sane(F.col("alias")))
     secondary = secondary.join(primary.select("instance", "alias").distinct(), ["instance", "alias"], "left_anti")

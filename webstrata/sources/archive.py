@@ -119,6 +119,9 @@ def parse(filename: str, content: bytes) -> Iterator[dict]:
     name = filename.rsplit("/", 1)[-1]
     seen = False
     for position, length, text, cut in _members(content):
+        if cut and not text.strip(b"\r\n\0"):
+            yield _error(name, position, length)
+            return
         at = 0
         while at < len(text):
             if not text[at:].strip(b"\r\n\0"):

@@ -24,7 +24,7 @@ def table_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 def archive_stream(spark: SparkSession, path: str, glob: str = "*.warc.gz") -> DataFrame:
     """New archive files of a folder, whole: path, modificationTime, length, content."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", BATCH_FILES).load(path)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", BATCH_FILES).load(path)
 
 
 def latest_state(history: DataFrame) -> DataFrame:
