@@ -27,7 +27,7 @@ from webstrata.llm.suffix_dedup import settled
 from webstrata.llm.textbytes import blocks, ids_of
 
 WINDOW = 16
-CUT_BITS = 6
+CUT_BITS = 4
 MIN_CHUNK = 16
 MAX_CHUNK = 4096
 MIN_RUN = 64
