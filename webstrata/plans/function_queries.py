@@ -9,6 +9,7 @@ from webstrata.functions import binary as B
 from webstrata.functions import dates as D
 from webstrata.functions import text as T
 from webstrata.functions import urls as U
+from webstrata.operators.capture_index import indexable, record_kind
 from webstrata.plans.fixtures import Views
 from webstrata.plans.registry import query
 
@@ -221,8 +222,6 @@ def task_names(v: Views) -> DataFrame:
 @query("select l_orderkey warc_id, l_linenumber record_no, l_partkey, l_suppkey, l_returnflag <> 'N' and l_quantity > 5 and l_shipdate >= timestamp '1996-01-01' indexed from lineitem")
 def capture_filter(v: Views) -> DataFrame:
     """Which records are indexed, over columns made of line items."""
-    from webstrata.operators.capture_index import indexable
-
     rows = v.table("lineitem").select(
         F.col("l_orderkey").alias("warc_id"), F.col("l_linenumber").alias("record_no"), "l_partkey", "l_suppkey",
         F.when(F.col("l_returnflag") == "N", "request").when(F.col("l_returnflag") == "A", "response").otherwise("resource").alias("type"),
@@ -233,8 +232,6 @@ def capture_filter(v: Views) -> DataFrame:
 
 @query("select page_id, case page_id % 4 when 0 then 'response' when 1 then 'resource' when 2 then 'metadata' end kind from pages")
 def record_kinds(v: Views) -> DataFrame:
-    from webstrata.operators.capture_index import record_kind
-
     k = F.col("page_id") % 4
     kind = F.when(k == 1, "resource").when(k == 2, "metadata")
     return v.table("pages").select("page_id", record_kind(kind, F.when(k == 3, F.concat(F.lit("dns:"), "url")).otherwise(F.col("url"))).alias("kind"))
