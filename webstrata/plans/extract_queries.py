@@ -21,15 +21,13 @@ def page_documents(v: Views) -> DataFrame:
     return X.page_documents(_pages(v)).withColumn("links", F.to_json("links")).withColumn("h1", F.to_json("h1"))
 
 
-_UNESCAPE = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_UNESCAPE = "regexp_replace(regexp_replace({}, '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+_TITLE = _UNESCAPE.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")
 
 
-@query(f"select page_id id, regexp_replace(regexp_replace({_UNESCAPE.format(chr(39).join(['regexp_extract(html, ', '<title>([^<]*)</title>', ', 1)']))}, '^\\s+|\\s+$', '', 'g'), '\\s{{2,}}', ' ', 'g') title from pages where not regexp_matches(regexp_extract(html, '<title>([^<]*)</title>', 1), '&(a|am|amp|q|qu|quo|quot|l|lt|g|gt)([^a-z;]|$)')")
+@query(f"select page_id id, regexp_replace(regexp_replace({_TITLE}, '^\\s+|\\s+$', '', 'g'), '\\s{{2,}}', ' ', 'g') title from pages")
 def page_titles(v: Views) -> DataFrame:
-    """Titles by the parser; those that end in a cut character reference are left to its tests."""
-    raw = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    whole = v.table("pages").where(~raw.rlike("&(a|am|amp|q|qu|quo|quot|l|lt|g|gt)([^a-z;]|$)"))
-    return X.page_documents(whole.select(F.col("page_id").alias("id"), "url", "html")).select("id", "title")
+    return X.page_documents(_pages(v)).select("id", "title")
 
 
 @query()
@@ -43,10 +41,13 @@ def page_links(v: Views) -> DataFrame:
     return X.page_documents(_pages(v)).select("id", F.size(links).cast("long").alias("n_links"), F.array_join(F.transform(links, lambda x: x["href"]), " ").alias("hrefs"))
 
 
-@query("select page_id id, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), unnest(regexp_extract_all(html, '<a href=\"(/[^\"]+)\"', 1))) url from pages where not regexp_matches(html, '<a href=\"[^\"]*[ #&?][^\"]*\"')")
+_HREF = _UNESCAPE.format("unnest(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1))")
+
+
+@query(f"select page_id id, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), regexp_replace({_HREF}, '#.*', '')) url from pages")
 def page_link_urls(v: Views) -> DataFrame:
-    plain = v.table("pages").where(~F.col("html").rlike('<a href="[^"]*[ #&?][^"]*"')).select(F.col("page_id").alias("id"), "url", "html")
-    return X.page_documents(plain).select("id", F.explode("links").alias("l")).select("id", F.col("l.url").alias("url"))
+    links = X.page_documents(_pages(v)).select("id", F.explode("links").alias("l")).where("l.type = 'a'")
+    return links.select("id", F.col("l.url").alias("url"))
 
 
 @query("select format('{:<12s} {:d}', language, cast(sum(pages) as bigint)) line from language_bucket group by language order by sum(pages) desc, language")

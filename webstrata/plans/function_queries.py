@@ -132,12 +132,10 @@ def byte_ranges(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", F.array_join(F.transform(found, lambda r: F.concat(text(r["first"]), F.lit("-"), text(r["last"]))), " ").alias("ranges"))
 
 
-@query("""select id, case when size < 1024 then concat(size, ' bytes') when size <= 1048576 then concat((size * 10 // 1024) // 10, '.', (size * 10 // 1024) % 10, ' KiB') else concat((size // 1024 * 10 // 1024) // 10, '.', (size // 1024 * 10 // 1024) % 10, ' MiB') end shown
-    from (select id, size // 2048 * 2048 // 10 * 10 size from warc) where (case when size <= 1048576 then size * 100 // 1024 % 10 else size // 1024 * 100 // 1024 % 10 end) < 5 or size < 1024""")
+@query("""select id, case when size < 1024 then concat(size, ' bytes') when size <= 1048576 then concat((size * 20 + 1024) // 20480, '.', (size * 20 + 1024) // 2048 % 10, ' KiB')
+    else concat((size // 1024 * 20 + 1024) // 20480, '.', (size // 1024 * 20 + 1024) // 2048 % 10, ' MiB') end shown from warc""")
 def display_size(v: Views) -> DataFrame:
-    size = F.expr("size div 2048 * 2048 div 10 * 10")
-    rows = v.warc.select("id", size.alias("size")).where("(case when size <= 1048576 then size * 100 div 1024 % 10 else size div 1024 * 100 div 1024 % 10 end) < 5 or size < 1024")
-    return rows.select("id", T.display_size(F.col("size")).alias("shown"))
+    return v.warc.select("id", T.display_size(F.col("size")).alias("shown"))
 
 
 @query("select id, case when ends_with(relpath, '.log') then 'LOG' when ends_with(relpath, '.cxml') then 'CONFIG' when ends_with(relpath, '.recover.gz') then 'RECOVER' when ends_with(relpath, '.dump') then 'DUMP' else 'UNKNOWN' end type, case when ends_with(relpath, '.cxml') then 'application/xml' when ends_with(relpath, '.log') or ends_with(relpath, '.dump') then 'text/plain' else 'application/octet-stream' end content_type from artifact")
