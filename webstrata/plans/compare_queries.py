@@ -82,4 +82,4 @@ def seed_text_import(v: Views) -> DataFrame:
     """A seed list from pasted text: lines trimmed, schemes implied, duplicates gone."""
     line = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.regexp_replace("url", "^https?://", " "))
     seeds = seeds_from_text(v.table("pages").select(F.lit(2).alias("seedlist_id"), line.alias("text")))
-    return seeds.crossJoin(F.broadcast(seeds.agg(F.count("*").alias("total_seeds")))).select("seedlist_id", "url", "total_seeds")
+    return seeds.select("seedlist_id", "url", seeds.agg(F.count("*")).scalar().alias("total_seeds"))

@@ -109,10 +109,9 @@ class Views:
 
     @property
     def collection(self) -> DataFrame:
-        brand = self.table("part").select("p_brand").distinct()
-        # the distinct brands are a small dimension: their ranks come from a broadcast comparison, not from one task
-        other = brand.withColumnRenamed("p_brand", "other")
-        return brand.join(F.broadcast(other), F.col("other") <= F.col("p_brand")).groupBy("p_brand").agg(F.count("*").alias("id")).select("id", F.col("p_brand").alias("name"))
+        # the distinct brands are a small dimension, so that one sorted array holds them
+        brands = self.table("part").agg(F.sort_array(F.collect_set("p_brand")).alias("brands"))
+        return brands.select(F.posexplode("brands").alias("n", "name")).select((F.col("n") + 1).cast("long").alias("id"), "name")
 
     @property
     def collection_series(self) -> DataFrame:
@@ -128,17 +127,17 @@ class Views:
 
     @property
     def artifact(self) -> DataFrame:
-        n = self.table("customer").agg(F.count("*").alias("n_crawls"))
+        n = self.table("customer").agg(F.count("*")).scalar()
         suffix = F.create_map(*(F.lit(x) for x in (0, ".log", 1, ".cxml", 2, ".recover.gz", 3, ".dump", 4, "-language-buckets.tar.gz")))
-        return self.table("part").crossJoin(F.broadcast(n)).select(
-            F.col("p_partkey").alias("id"), (F.col("p_partkey") % F.col("n_crawls")).alias("crawl_id"),
+        return self.table("part").select(
+            F.col("p_partkey").alias("id"), (F.col("p_partkey") % n).alias("crawl_id"),
             F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), suffix[F.col("p_size") % 5]).alias("relpath"), F.round(F.col("p_retailprice") * 100).cast("long").alias("size"),
         )
 
     @property
     def language_bucket(self) -> DataFrame:
-        n = self.table("customer").agg(F.count("*").alias("n_crawls"))
-        return self.table("documents").crossJoin(F.broadcast(n)).select((F.col("doc_id") % F.col("n_crawls")).alias("crawl_id"), F.col("lang").alias("language"), F.lit(1).cast("long").alias("pages"))
+        n = self.table("customer").agg(F.count("*")).scalar()
+        return self.table("documents").select((F.col("doc_id") % n).alias("crawl_id"), F.col("lang").alias("language"), F.lit(1).cast("long").alias("pages"))
 
     @property
     def seed(self) -> DataFrame:

@@ -109,13 +109,11 @@ def file_counts_by_crawl_state(v: Views) -> DataFrame:
 
 @query("select (select count(*) from crawl) crawls, (select count(*) from crawl_series) series, (select count(*) from crawl_series where agency_id = 1) series_of_agency, (select count(*) from collection) collections, (select count(*) from artifact) artifacts, (select count(*) from warc where warc_state_id = 1) files_to_index")
 def table_counts(v: Views) -> DataFrame:
-    def n(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("*").alias(name))
-
-    out = n(v.crawl, "crawls")
-    for part in (n(v.crawl_series, "series"), n(v.crawl_series.where("agency_id = 1"), "series_of_agency"), n(v.collection, "collections"), n(v.artifact, "artifacts"), n(v.warc.where("warc_state_id = 1"), "files_to_index")):
-        out = out.crossJoin(F.broadcast(part))
-    return out
+    tables = {
+        "crawls": v.crawl, "series": v.crawl_series, "series_of_agency": v.crawl_series.where("agency_id = 1"), "collections": v.collection,
+        "artifacts": v.artifact, "files_to_index": v.warc.where("warc_state_id = 1"),
+    }
+    return v.spark.range(1).select(*(df.agg(F.count("*")).scalar().alias(name) for name, df in tables.items()))
 
 
 @query("select cast(sum(size) as bigint) total_bytes from warc where crawl_id = 17")
