@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import spans as S
+from webstrata.llm.shared import small_batches
 from webstrata.llm.suffix_dedup import settled
 from webstrata.llm.textbytes import blocks, ids_of
 
 WINDOW = 16
 CUT_BITS = 4
-MIN_CHUNK = 16
+MIN_CHUNK = 12
 MAX_CHUNK = 4096
-MIN_RUN = 64
+MIN_RUN = 100
 
 _GEAR = np.random.Generator(np.random.PCG64(41)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -106,6 +107,7 @@ def _later_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, s, e): the chunks that are copies of an earlier one."""
+    small_batches(docs.sparkSession)
     texts = docs.select(S.key(docs, id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = texts.mapInArrow(_chunk_rows, "deal long, gram long, context long, id long, at long, size long, known boolean")
     return rows.repartition("deal").sortWithinPartitions("gram", "context", "id", "at").mapInArrow(_later_copies, "id long, s long, e long")
