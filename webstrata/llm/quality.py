@@ -28,7 +28,7 @@ from webstrata.llm.textbytes import ASCII_SPACE, blocks, ids_of, mix, numbered,
 
 BUCKETS = 1 << 16
 PRIOR = 1e6
-THRESHOLD = -0.1
+THRESHOLD = -0.07
 MIN_WORDS = 50
 TRUSTED_IDS = 50_000
 
@@ -54,8 +54,8 @@ class _Words:
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED_IDS) -> list[int]:
-    """Ids of at most `limit` documents labelled good and not toxic, chosen by hash."""
-    rows = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("i")).distinct()
+    """Ids of at most `limit` documents labelled good, chosen by hash. What is toxic is another question."""
+    rows = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("i")).distinct()
     return sorted(r.i for r in rows.orderBy(F.xxhash64("i"), "i").limit(limit).collect())
 
 
