@@ -166,3 +166,14 @@ def test_groups_over_batches():
         n += 1
         got[t.column(0)[0].as_py()] += t.column(1).to_pylist()
     assert n == 4 and got == {1: [0, 1], 2: [2, 3, 4], 3: [5], 4: [6, 7]}
+
+
+def test_rows_of_slices():
+    """Spans of a slice of a batch are those of its own rows."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    own = [[{"s": i, "e": i + 2}, {"s": i + 1, "e": i + 3}] if i % 3 else None for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(["x" * 30] * 20), pa.array(own, kind)], ["i", "t", "spans"])
+    got = [spans for k in range(0, 20, 7) for _, spans in S._rows(batch.slice(k, 7), 1, 2, 1)]
+    assert got == [[(i, i + 3)] if i % 3 else [] for i in range(20)]

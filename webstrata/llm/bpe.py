@@ -23,6 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webstrata.llm.shared import small_batches
+from webstrata.llm.textbytes import portions
+
 #: Fixed value: the pattern that byte-level BPE vocabularies of this family split texts with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -283,12 +286,13 @@ def tokenise(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     `tokenizer` is the path of a byte-level BPE file, read in the driver and broadcast (a
     vocabulary has a fixed size, about 1.5 MB). Texts are encoded whole; null and empty
     texts have no tokens. Repeated rows give a row each; other columns are not read."""
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(shared)
-        for batch in batches:
+        for batch in portions(batches):
             n, ids, decoded = [], [], []
             for part in _runs(batch.column(1).fill_null("").to_pylist()):
                 for entries in bpe.encode_all(part):
@@ -311,12 +315,13 @@ def _valid(raw: bytes) -> bytes:
 
 def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, ids (array of int). See `tokenise`."""
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(shared)
-        for batch in batches:
+        for batch in portions(batches):
             ids = [[int(i) for e in entries if e[1] for i in e[0].split(",")] for part in _runs(batch.column(1).fill_null("").to_pylist()) for entries in bpe.encode_all(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.textbytes import LOWER, blocks
+from webstrata.llm.shared import small_batches
+from webstrata.llm.textbytes import LOWER, blocks, portions
 
 WINDOW_WORDS = 10
 SLICE_BYTES = 8 << 20
@@ -181,6 +182,7 @@ def _slices(benchmark: DataFrame, item_id: str, item_text: str, limit: int) -> I
 
 def matchers_of(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", limit: int = SLICE_BYTES) -> list:
     """Broadcast variables, each with the items of one slice."""
+    small_batches(benchmark.sparkSession)
     sc = benchmark.sparkSession.sparkContext
     return [sc.broadcast(part) for part in _slices(benchmark, item_id, item_text, limit)]
 
@@ -219,7 +221,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shared = matchers_of(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             n_words, n_hit, items = scan(batch.column(1), _matchers(shared))
             names = [[str(x) for x in own] for own in items]
             yield pa.RecordBatch.from_arrays(
@@ -239,7 +241,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             _, n_hit, _ = scan(batch.column(at), _matchers(shared))
             yield batch.filter(pa.array([x == 0 for x in n_hit], pa.bool_()))
 

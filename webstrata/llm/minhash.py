@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.shared import components, written
-from webstrata.llm.textbytes import ASCII_SPACE, LOWER, NULL_ID, blocks, ids_of, mix, prefix_hashes, slice_hashes, words
+from webstrata.llm.shared import components, forget, small_batches, written
+from webstrata.llm.textbytes import ASCII_SPACE, LOWER, NULL_ID, blocks, mix, portions, prefix_hashes, slice_hashes, words
 
 SHINGLE_WORDS = 5
 PERCENT = 85
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per document row: id, n_shingles, set_key (digest of the set), bands (null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             n, keys, bands = [], [], []
             for s in shingle_sets(batch.column(1)):
                 n.append(len(s))
@@ -113,7 +113,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
     """(id, set): the shingle sets, as sorted 64-bit words, of the documents whose ids are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["id", "set"])
 
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -124,12 +124,20 @@ def _similar(inter: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * inter >= PERCENT * (n + m - inter)
 
 
+def _views(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of a binary column, without a copy."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    words = np.frombuffer(data, np.uint64) if data is not None and data.size >= 8 else np.zeros(0, np.uint64)
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        yield words[a // 8 : b // 8]
+
+
 def _check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, set_a, set_b) those whose sets are similar."""
     for batch in batches:
         ok = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(_views(batch.column(2)), _views(batch.column(3))):
             at = np.searchsorted(y, x)
             inter = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
             ok.append(bool(_similar(inter, len(x), len(y))))
@@ -230,6 +238,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Texts without words, null ones included, link with nothing. A null id sorts before all
     others and comes back null. Rows that share an id are taken for one document of the set
     that comes first by its digest: links of either join them. Other columns are not read."""
+    small_batches(docs.sparkSession)
     found = written(sketches(docs, id_col, text_col))
     # one document for each distinct set
     sets = found.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"))
@@ -265,6 +274,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spread = tasks.join(known, "id").select("bucket", "task", "id", "label", "set").repartition("bucket", "task").sortWithinPartitions("bucket", "task")
     more = written(spread.mapInArrow(_check_blocks, "a long, b long"))
     label = components(links.unionByName(more)) if not more.isEmpty() else label
+    for table in (reps, members, known, links, more):
+        forget(table)
 
     ends = sets.join(label, sets["rep"] == label["id"], "left").select("set_key", "rep", F.coalesce("root", "rep").alias("component"))
     empty = F.col("n_shingles") == 0

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.textbytes import ASCII_SPACE, blocks, ids_of, mix, numbered, prefix_hashes, slice_hashes, whole_windows, words
+from webstrata.llm.shared import small_batches
+from webstrata.llm.textbytes import ASCII_SPACE, blocks, ids_of, mix, numbered, portions, prefix_hashes, slice_hashes, whole_windows, words
 
 BUCKETS = 1 << 16
 PRIOR = 1e6
@@ -65,7 +66,7 @@ def gram_counts(docs: DataFrame, trusted: list[int], id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in portions(batches):
             own = np.isin(ids_of(batch.column(0)), ids.value)
             for first, last, data, offsets in blocks(batch.column(1)):
                 bucket, text = _Words(data, offsets).grams()
@@ -80,6 +81,7 @@ def gram_counts(docs: DataFrame, trusted: list[int], id_col: str = "doc_id", tex
 
 def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """The log-likelihood ratio of each of the BUCKETS buckets; all 0 without trusted documents."""
+    small_batches(docs.sparkSession)
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in gram_counts(docs, trusted_ids(labels), id_col, text_col).collect():  # BUCKETS rows at most
         raw[r.bucket], good[r.bucket] = r.raw, r.trusted
@@ -163,7 +165,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             parts = [measures(data, offsets, ratios.value) for _, _, data, offsets in blocks(batch.column(1))]
             columns = [pa.array(np.concatenate([p[k] for p in parts])) if parts else pa.array([], pa.int64()) for k in names]
             if parts:
@@ -180,7 +182,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             kept = [measures(data, offsets, ratios.value)["kept"] for _, _, data, offsets in blocks(batch.column(at))]
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))

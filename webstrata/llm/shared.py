@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send Python at most ARROW_ROWS rows at once, so that a batch of long texts fits in memory
+    next to what is made of it. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def folder(spark: SparkSession) -> str:
     """A new path in spark.checkpoint.dir; only where that is not set (local tests) a temporary folder."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webstrata.llm.textbytes import NULL_ID
+from webstrata.llm.textbytes import NULL_ID, portions
 
 
 def key(docs: DataFrame, id_col: str) -> Column:
@@ -63,7 +63,7 @@ def report(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, least:
     joined, name = with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), spans, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             rows = [(len(t), sum(b - a for a, b in x), len(x), hashlib.sha256(kept_bytes(t, x)).hexdigest()) for t, x in _rows(batch, 1, 2, least)]
             n, removed, count, digest = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -97,7 +97,7 @@ def cut_out(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     chars_type = docs.schema[chars_at].dataType if chars_at >= 0 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = [kept_bytes(t, whole_characters(t, x)).decode() for t, x in _rows(batch, at, n, least)]
             null = batch.column(at).is_null()
             columns = [batch.column(k) for k in range(n)]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import spans as S
-from webstrata.llm.shared import written
+from webstrata.llm.shared import small_batches, written
 from webstrata.llm.textbytes import blocks, ids_of, mix, prefix_hashes, slice_hashes
 
 MATCH = 100
@@ -265,6 +265,7 @@ def _hashed_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, s, e): byte spans, which may overlap, whose union is to be removed."""
+    small_batches(docs.sparkSession)
     texts = docs.select(S.key(docs, id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = texts.mapInArrow(_anchor_rows, "deal long, gram long, context long, id long, at long, known boolean")
     dealt = rows.repartition("deal").sortWithinPartitions("gram", "context", "id", "at")

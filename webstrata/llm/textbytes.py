@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -35,6 +35,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+PORTION_ROWS = 512
+
+
+def portions(batches: Iterator[pa.RecordBatch], rows: int = PORTION_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what is made of them is small as well."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def ids_of(column: pa.Array) -> np.ndarray:
     """Document ids as int64; null ids become NULL_ID."""
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)

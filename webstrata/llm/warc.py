@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm.shared import written
+from webstrata.llm.shared import forget, small_batches, written
 from webstrata.llm.textbytes import NULL_ID
 
 SHARD_BYTES = 64 << 20
@@ -36,7 +36,7 @@ BLOCK_LINES = 1000
 MIN_SHARED_BYTES = 0
 BROADCAST_ROWS = 1_000_000
 """Most revisits, of 16 bytes each, that are sent to all executors; more are joined by a shuffle."""
-DIRECTORY_ROWS = 2_000_000
+DIRECTORY_ROWS = 200_000
 """Most directory rows that a lookup keeps in the driver; beyond, Spark searches the Parquet directory."""
 
 _DATE = "2024-01-01T00:00:00Z"
@@ -142,9 +142,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = MIN_SHARED_BYTES,
     Null html is an empty payload; a null url gives a record without target; a null page_id
     counts as the smallest. Of equal payloads the row with the largest page_id is the
     response (repeated rows of it all are), the others are revisits of it."""
-    twice = written(revisits(pages, least))
-    if twice.count() <= BROADCAST_ROWS:
-        twice = F.broadcast(twice)
+    small_batches(pages.sparkSession)
+    found = written(revisits(pages, least))
+    twice = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +162,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = MIN_SHARED_BYTES,
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["body"])
 
     _write(rows.join(twice, "page", "left").select("page", "url", "html", "refers_to").mapInArrow(run, "body binary"), f"{folder}/archives")
+    forget(found)
 
 
 def captures(spark: SparkSession, folder: str) -> DataFrame:
