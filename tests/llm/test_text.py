@@ -163,7 +163,7 @@ def test_speculation_is_verified():
 # pages
 
 PAGE = """<html><head><title>x</title></head><body><header class="site-header"><h1>Site</h1></header><div id="cookie-notice">We use cookies on the site to be of use</div>
-<main><article><header><h1>Head line</h1></header><p>Short.</p><p>This is the text of the article and it is long enough to be judged as it is by the rules.</p><aside>Related: the stuff</aside>
+<main><article><div class="post-header"><h1>Head line</h1></div><p>Short.</p><p>This is the text of the article and it is long enough to be judged as it is by the rules.</p><aside>Related: the stuff</aside>
 <blockquote>quote <a href=x>link</a></blockquote><div class="advert">Buy!</div><form><p>Your mail</p></form><p>End &lt;b&gt; &nbsp; now<p>x<!-- no --></article>
 <div id="comments"><p>This is a comment of the reader and it is of a good length to be judged.</p></div></main><div class="sidebar"><p>side bar of the page that is a long long text and it is for the reader of it</p></div><footer>&copy;</footer></body></html>"""
 
@@ -172,6 +172,7 @@ def test_main_text():
     assert html_text.main_text(PAGE) == "Head line Short. This is the text of the article and it is long enough to be judged as it is by the rules. quote link End <b> now x"
     assert html_text.main_text("<p>Hello world.</p>") == "Hello world."
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<!-- open") == ""
+    assert html_text.main_text('<p>First.</p><p>Second <i x="a>b">c</i></p><p title="open>Third<img alt=no') == "First. Second c Third"
     plain = "<div><div class=menu><a>x</a> <a>y</a></div><p>Good text for the reader of this and that, which is a good block of the page.<p>Short<script>var a='<p>x</p>'</script></div>"
     assert html_text.main_text(plain) == "Good text for the reader of this and that, which is a good block of the page. Short"
 

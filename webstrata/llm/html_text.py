@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webstrata.llm.shared import small_batches
+from webstrata.llm.textbytes import portions
+
 SHORT_CHARS = 70
 LINK_DENSITY = 0.34
 STOP_DENSITY = 0.12
@@ -51,11 +54,14 @@ _MARKS = frozenset(
     comment comments commentlist disqus replies respond share sharing social related recommended newsletter subscribe subscription signup login search widget
     pagination pager copyright legal disclaimer skip complementary contentinfo""".split()
 )
+_OWN_MARKS = frozenset(("header", "masthead"))
 _PARTS = frozenset(["article", "main"])
 
+#: Attributes up to a tag's end. Quoted values are bounded, so that an open quote can't make every tag read the whole page.
+_ATTRS = r"""(?:[^>"']|"[^"]{0,200000}"|'[^']{0,200000}')*"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<cut>/?[a-zA-Z][^<>]*)\Z",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>{_RAW})\b{_ATTRS}(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>|<(?P<odd>/?[a-zA-Z][^<>]*)>|<(?P<cut>/?[a-zA-Z][^<>]*)\Z",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -73,11 +79,13 @@ class Block:
     label: str = ""
 
 
-def _marked(attrs: str) -> bool:
+def _marked(attrs: str, inside: bool) -> bool:
+    """Do the attributes mark boilerplate? Within an article a header is the article's own."""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
         return False
     for m in _ATTR.finditer(attrs):
-        if not _MARKS.isdisjoint(_MARK_SPLIT.split((m[1] or m[2] or m[3] or "").lower())):
+        found = _MARKS.intersection(_MARK_SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
+        if found - _OWN_MARKS if inside else found:
             return True
     return bool(_HIDDEN.search(attrs))
 
@@ -112,7 +120,7 @@ def cut(page: str) -> list[Block]:
         if (tag := m["tag"]) is None:
             if m["cdata"]:
                 text(m["cdata"].replace("&", "&amp;"))
-            elif m["raw"]:
+            elif m["raw"] or m["odd"]:
                 flush()
             continue
         tag = tag.lower()
@@ -142,9 +150,9 @@ def cut(page: str) -> list[Block]:
                 if part == 0 or tag == "article":
                     parts += 1
                     part = parts
-            boiler = boiler or tag in _BOILER or tag in _SILENT or tag == "header" and part == 0 or tag not in ("body", "html", "article", "main") and _marked(m["attrs"])
+            boiler = boiler or tag in _BOILER or tag in _SILENT or tag == "header" and part == 0 or tag not in ("body", "html", "article", "main") and _marked(m["attrs"], part > 0)
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        elif _marked(m["attrs"]) and tag in ("span", "section"):
+        elif _marked(m["attrs"], part > 0) and tag in ("span", "section"):
             flush()
             stack.append((tag, boiler, part, heading))
             boiler = True
@@ -208,12 +216,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     read up to the end; repeated rows give a row each; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
+    small_batches(pages.sparkSession)
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )
