@@ -15,11 +15,12 @@ banded; documents that share a band are candidates.
    member) need not be compared with one another. Components follow again.
 
 No link between different texts that share a band is missed. With 24 bands of 4 rows two
-sets of similarity 0.85 fail to share a band with a chance of 2e-8.
+sets of similarity 0.85 fail to share a band with a chance of 2e-8, of 0.8 with one of 3e-6.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,8 +121,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
     return texts.join(wanted, "id", "left_semi").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
-def _similar(inter: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return 100 * inter >= PERCENT * (n + m - inter)
+def _similar(inter: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * inter >= percent * (n + m - inter)
 
 
 def _views(column: pa.Array) -> Iterator[np.ndarray]:
@@ -133,14 +134,14 @@ def _views(column: pa.Array) -> Iterator[np.ndarray]:
         yield words[a // 8 : b // 8]
 
 
-def _check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _check_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, set_a, set_b) those whose sets are similar."""
     for batch in batches:
         ok = []
         for x, y in zip(_views(batch.column(2)), _views(batch.column(3))):
             at = np.searchsorted(y, x)
             inter = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-            ok.append(bool(_similar(inter, len(x), len(y))))
+            ok.append(bool(_similar(inter, len(x), len(y), percent)))
         ok = pa.array(ok, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
@@ -214,7 +215,7 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _check_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _check_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, task, id, label, set) sorted by task: links between different labels."""
     for table in groups(batches, 2):
         ids, label = table.column(2).to_numpy(), table.column(3).to_numpy()
@@ -225,17 +226,17 @@ def _check_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         raw = table.column(4).to_pylist()
         sets = [np.frombuffer(raw[k], np.uint64) for k in first]
         inter, n = products(sets), np.array([len(s) for s in sets])
-        links = list(_forest(_similar(inter, n[:, None], n[None, :]), label))
+        links = list(_forest(_similar(inter, n[:, None], n[None, :], percent), label))
         if links:
             i, j = np.array(links).T
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept, set_id (the smallest id
     with an equal set; the id itself for an empty one).
 
-    Texts without words, null ones included, link with nothing. A null id sorts before all
+    Documents are linked from a Jaccard similarity of `percent` hundredths on. Texts without words, null ones included, link with nothing. A null id sorts before all
     others and comes back null. Rows that share an id are taken for one document of the set
     that comes first by its digest: links of either join them. Other columns are not read."""
     small_batches(docs.sparkSession)
@@ -250,7 +251,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     known = written(sets_of(docs, members.select("id").distinct(), id_col, text_col))
     both = pairs.join(known.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(known.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    links = written(both.select("a", "b", "set_a", "set_b").mapInArrow(_check_pairs, "a long, b long"))
+    links = written(both.select("a", "b", "set_a", "set_b").mapInArrow(functools.partial(_check_pairs, percent=percent), "a long, b long"))
 
     # what is left: buckets with several components, in blocks
     label = components(links)
@@ -272,7 +273,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     tasks = placed.select("bucket", "id", "label", F.explode(task).alias("t")).select("bucket", (F.col("t.x").cast("long") * (1 << 31) + F.col("t.y")).alias("task"), "id", "label")
     spread = tasks.join(known, "id").select("bucket", "task", "id", "label", "set").repartition("bucket", "task").sortWithinPartitions("bucket", "task")
-    more = written(spread.mapInArrow(_check_blocks, "a long, b long"))
+    more = written(spread.mapInArrow(functools.partial(_check_blocks, percent=percent), "a long, b long"))
     label = components(links.unionByName(more)) if not more.isEmpty() else label
     for table in (reps, members, known, links, more):
         forget(table)
@@ -288,7 +289,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents whose id is the smallest of their component, with all their columns."""
-    kept = classes(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_kept_id")).distinct()
+    kept = classes(docs, id_col, text_col, percent).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_kept_id")).distinct()
     return docs.join(kept, F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)) == kept["_kept_id"], "left_semi")

@@ -60,7 +60,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.classes(_table(spark, sf_dir, "documents"))
+    return minhash.classes(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
