@@ -1,9 +1,12 @@
 """Stages and operators against whole jobs: what a cut would lose."""
 
+import pytest
+
 import corpus_pipeline
 from tests.llm import test_pipeline
 from tests.llm.helpers import ODD, frame, random_docs
 from tests.llm.test_dedup import component_ids, shingles
+from webstrata.llm import quality
 
 
 def components_at(docs, percent):
@@ -35,3 +38,17 @@ def test_pipeline_links_from_080(spark):
 def test_pipeline_stages_with_links_from_080(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(test_pipeline, "component_ids", lambda docs: components_at(docs, 80))
     test_pipeline.test_stages_equal_brute_force(spark, tmp_path)
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_quality_verdicts_do_not_depend_on_size(spark, data, size):
+    """Labelled documents of small tables are told apart too, and the same when every row stands there five times."""
+    docs, labels = (spark.read.parquet(f"{data.replace('0.001', size)}/{t}.parquet") for t in ("documents", "labels"))
+    once = {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()}
+    often = docs.crossJoin(spark.range(5).select()).select(docs.columns)
+    assert often.count() == 5 * docs.count()
+    assert all(r.kept == once[r.doc_id] for r in quality.judge(often, labels).collect())
+    ok = {r.doc_id for r in quality.judge(docs, labels).where("not base_failed").collect()}
+    verdicts = [(r.quality, once[r.doc_id]) for r in labels.where("doc_id is not null").collect() if r.doc_id in ok]
+    assert (0, True) not in verdicts and (1, False) not in verdicts
+    assert (0, False) in verdicts and (1, True) in verdicts

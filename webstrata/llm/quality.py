@@ -4,9 +4,10 @@ Words and word pairs of a text are hashed to BUCKETS buckets. Two multinomials o
 buckets are counted: one over all documents (the raw corpus) and one over the trusted
 documents. A document's score is the mean over its n-grams of
 
-    log((trusted[b] + PRIOR * r) / (all trusted + PRIOR)) - log(r),   r = raw[b] / all raw
+    log((trusted[b] / all trusted + SMOOTHING) / (raw[b] / all raw + SMOOTHING))
 
-so a bucket of which the trusted set says little counts little, and the score doesn't depend on length. A document is kept if it passes the base rules
+so a bucket with a small share of either counts little, and the score depends neither on a
+text's length nor on the table's size: only shares enter. A document is kept if it passes the base rules
 (at least MIN_WORDS words, at most half of them in repeated three-word windows) and its
 score is at least THRESHOLD: fixed, so equal texts always get equal verdicts. Texts
 like the corpus score about 0; symbol noise and the like score far below.
@@ -28,8 +29,8 @@ from webstrata.llm.shared import small_batches
 from webstrata.llm.textbytes import ASCII_SPACE, blocks, ids_of, mix, numbered, portions, prefix_hashes, slice_hashes, whole_windows, words
 
 BUCKETS = 1 << 16
-PRIOR = 1e6
-THRESHOLD = -0.07
+SMOOTHING = 1e-4
+THRESHOLD = -0.04
 MIN_WORDS = 50
 TRUSTED_IDS = 50_000
 
@@ -91,8 +92,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def ratios_of(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
-    share = (raw + 0.01) / (raw + 0.01).sum()
-    return np.log((good + PRIOR * share) / (good.sum() + PRIOR)) - np.log(share)
+    return np.log((good / good.sum() + SMOOTHING) / (raw / raw.sum() + SMOOTHING))
 
 
 def _duplicate_lines(data: np.ndarray, offsets: np.ndarray, ws: _Words, sums: np.ndarray) -> np.ndarray:
