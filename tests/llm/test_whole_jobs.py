@@ -1,12 +1,14 @@
 """Stages and operators against whole jobs: what a cut would lose."""
 
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
 from tests.llm import test_pipeline
 from tests.llm.helpers import ODD, frame, random_docs
 from tests.llm.test_dedup import component_ids, shingles
-from webstrata.llm import quality
+from webstrata.llm import quality, url_filter
 
 
 def components_at(docs, percent):
@@ -52,3 +54,29 @@ def test_quality_verdicts_do_not_depend_on_size(spark, data, size):
     verdicts = [(r.quality, once[r.doc_id]) for r in labels.where("doc_id is not null").collect() if r.doc_id in ok]
     assert (0, True) not in verdicts and (1, False) not in verdicts
     assert (0, False) in verdicts and (1, True) in verdicts
+
+
+def labelled_urls():
+    sites = [f"site{i}.org" for i in range(60)] + ["rare-a.net", "rare-b.net"]
+    urls = [(f"http://www.{s}/{k}", 1.0 if s.startswith("rare") or i % 5 == 0 else 0.0) for i, s in enumerate(sites) for k in range(1 if s.startswith("rare") else 8)]
+    return urls + urls[:30] + [(None, 1.0), ("http://x.y/1", 7.0)]
+
+
+def test_suffixes_are_counted_over_all_labelled_urls(spark, monkeypatch):
+    rows = labelled_urls()
+    labelled = spark.createDataFrame(rows, "url string, label double").repartition(3)
+    n, bad = Counter(), Counter()
+    for url, label in {r for r in rows if r[0] and r[1] in (0, 1)}:
+        suffix = ".".join(url.split("/")[2].split(".")[-2:])
+        n[suffix] += 1
+        bad[suffix] += label
+    expected = {(k, n[k], round((bad[k] + 1) / (n[k] + 2), 9)) for k in n}
+    verdicts = []
+    for limit in (url_filter.BROADCAST_ROWS, 1):
+        monkeypatch.setattr(url_filter, "BROADCAST_ROWS", limit)
+        model = url_filter.fit(labelled, limit=40)
+        assert {(r.suffix, r.suffix_n, round(r.suffix_bad, 9)) for r in model.suffixes.collect()} == expected
+        scored = url_filter.scored(labelled.select("url"), model)
+        verdicts.append(sorted((r.url, r.suffix_n, r.margin) for r in scored.collect()))
+        assert len(verdicts[-1]) == len(rows)
+    assert verdicts[0] == verdicts[1]

@@ -1,9 +1,10 @@
 """URL filters: rules, and gradient-boosted trees on lexical features for all other urls.
 
 DataFrame operations only. Features come from the url's text: lengths, depth, digit ratio,
-entropy, numbers of parameters, and statistics of the host's suffix among the labelled
+entropy, numbers of parameters, and statistics of the host's suffix among all labelled
 urls. The trees are fitted on a bounded sample of labelled urls (SAMPLE rows, chosen by
-hash) and compiled to one SQL expression, so judging is a narrow, fully native projection.
+hash) and compiled to one SQL expression, so judging is a fully native projection, behind
+a join with the suffixes: a broadcast if they are few, else a shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from webstrata.llm.shared import written
 
 SAMPLE = 20_000
 TREES, DEPTH = 10, 3
+#: Suffix tables up to these rows and characters are broadcast.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 16_000_000
 
 #: Fixed values: (host suffix, path prefix, verdict) of the rules.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -105,22 +108,24 @@ def _column(node, names: list[str]) -> Column:
 
 
 def fit(labelled: DataFrame, limit: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> Model:
-    """Fit on at most `limit` distinct labelled urls, chosen by hash. Labels other than 0 and 1
-    and null urls are left out; a url labelled both ways counts as blocked. Without both labels
+    """Fit on at most `limit` distinct labelled urls, chosen by hash; suffixes are counted over all
+    distinct labelled urls. Labels other than 0 and 1 and null urls are left out; a url labelled both ways counts as blocked. Without both labels
     in the sample, all urls get the one label that is there, or allow."""
-    sample = labelled.where("url is not null and label in (0, 1)").groupBy("url").agg(F.max("label").alias("label"))
-    sample = written(_prepared(sample.orderBy(F.xxhash64("url"), "url").limit(limit)))
+    known = labelled.where("url is not null and label in (0, 1)").groupBy("url").agg(F.max("label").alias("label"))
+    sample = written(_prepared(known.orderBy(F.xxhash64("url"), "url").limit(limit)))
     found = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(found) < 2:
         return Model(F.lit(1.0 if 1.0 in found else -1.0), None)
-    # at most `limit` rows; a url's own label doesn't show in a suffix that only it has
-    suffixes = sample.groupBy("suffix").agg(F.count("*").alias("suffix_n"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_bad"))
+    suffixes = written(_prepared(known).groupBy("suffix").agg(F.count("*").alias("suffix_n"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_bad")))
     names = list(features())
-    ready = sample.join(F.broadcast(suffixes), "suffix", "left").select("label", *(c.alias(n) for n, c in features().items()))
+    # at most `limit` rows
+    own = suffixes.join(F.broadcast(sample.select("suffix").distinct()), "suffix", "left_semi")
+    ready = sample.join(F.broadcast(own), "suffix", "left").select("label", *(c.alias(n) for n, c in features().items()))
     data = VectorAssembler(inputCols=names, outputCol="features").transform(ready).select("features", "label").coalesce(2)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, cacheNodeIds=False).fit(data)
     margin = functools.reduce(lambda a, b: a + b, (F.lit(float(w)) * _column(t._java_obj.rootNode(), names) for w, t in zip(model.treeWeights, model.trees)))
-    return Model(margin, suffixes)
+    size = suffixes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("suffix")), F.lit(0)).alias("chars")).first()
+    return Model(margin, F.broadcast(suffixes) if size.n <= BROADCAST_ROWS and size.chars <= BROADCAST_CHARS else suffixes)
 
 
 def scored(urls: DataFrame, model: Model) -> DataFrame:
@@ -128,7 +133,7 @@ def scored(urls: DataFrame, model: Model) -> DataFrame:
     out = _prepared(urls)
     if model.suffixes is None:
         return out.withColumn("margin", model.margin)
-    out = out.join(F.broadcast(model.suffixes), "suffix", "left")
+    out = out.join(model.suffixes, "suffix", "left")
     return out.select("*", *(c.alias(n) for n, c in features().items() if n != "suffix_bad")).withColumn("suffix_bad", F.coalesce("suffix_bad", F.lit(0.5))).withColumn("margin", model.margin)
 
 
