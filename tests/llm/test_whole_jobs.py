@@ -1,5 +1,6 @@
 """Stages and operators against whole jobs: what a cut would lose."""
 
+import time
 from collections import Counter
 
 import pytest
@@ -8,7 +9,7 @@ import corpus_pipeline
 from tests.llm import test_pipeline
 from tests.llm.helpers import ODD, frame, random_docs
 from tests.llm.test_dedup import component_ids, shingles
-from webstrata.llm import quality, url_filter
+from webstrata.llm import html_text, quality, url_filter
 
 
 def components_at(docs, percent):
@@ -80,3 +81,21 @@ def test_suffixes_are_counted_over_all_labelled_urls(spark, monkeypatch):
         verdicts.append(sorted((r.url, r.suffix_n, r.margin) for r in scored.collect()))
         assert len(verdicts[-1]) == len(rows)
     assert verdicts[0] == verdicts[1]
+
+
+@pytest.mark.parametrize("n", [199_000, 201_000, 1_000_000])
+def test_attributes_of_any_length(n):
+    good = "<p>Good text for the reader of this and that, which is a good block of the page.</p>"
+    text = "Good text for the reader of this and that, which is a good block of the page."
+    for quote, filler in (('"', "x"), ("'", "x"), ('"', "<p>state of the page</p> ")):
+        value = quote + (filler * n)[:n] + quote
+        assert html_text.main_text(f'<div class="sidebar" data-state={value}>{good}</div>{good}') == text
+        assert html_text.main_text(f"<article data-state={value}>{good}</article>{good}") == text
+        assert html_text.main_text(f"<p>x</p><iframe srcdoc={value}>{good}</iframe>{good}") == "x " + text
+
+
+def test_open_quotes_take_linear_time():
+    for s in ('<a x="', "<a <a ", "<a '\"", "<div data=\"<a b='>", "<a \"x' "):
+        begin = time.process_time()
+        html_text.cut(s * 200_000)
+        assert time.process_time() - begin < 20

@@ -57,13 +57,11 @@ _MARKS = frozenset(
 _OWN_MARKS = frozenset(("header", "masthead"))
 _PARTS = frozenset(["article", "main"])
 
-#: Attributes up to a tag's end. Quoted values are bounded, so that an open quote can't make every tag read the whole page.
-_ATTRS = r"""(?:[^>"']|"[^"]{0,200000}"|'[^']{0,200000}')*"""
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>{_RAW})\b{_ATTRS}(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>|<(?P<odd>/?[a-zA-Z][^<>]*)>|<(?P<cut>/?[a-zA-Z][^<>]*)\Z",
-    re.S | re.I,
-)
+#: A token's begin; the attributes of tags are read by _Tags.
+_HEAD = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)", re.S | re.I)
+_RAW_NAME = re.compile(rf"(?:{_RAW})\b", re.I)
+_SPECIAL = re.compile(r"""[>"']""")
+_ODD = re.compile(r"</?[a-zA-Z][^<>]*(>|\Z)", re.I)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _MARK_SPLIT = re.compile(r"[^a-z]+")
@@ -90,6 +88,57 @@ def _marked(attrs: str, inside: bool) -> bool:
     return bool(_HIDDEN.search(attrs))
 
 
+class _Tags:
+    """Where the tags of a page end: at the first `>` outside quotes. Quoted values may have any
+    length. Each quote is followed once, so the whole page takes linear time."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.known: dict[int, int] = {}  # an opening quote: where its tag ends
+        self.plain = (0, -1)  # no special character stands between these two places
+
+    def end(self, at: int) -> int:
+        """The place of the `>` that ends a tag with attributes from `at` on, -1 if there is none."""
+        if not self.plain[0] <= at <= self.plain[1]:
+            self.plain = (at, self._special(at))
+        q, way = self.plain[1], []
+        while q < len(self.page) and self.page[q] != ">" and q not in self.known:
+            way.append(q)
+            close = self.page.find(self.page[q], q + 1)
+            q = self._special(close + 1) if close >= 0 else len(self.page)
+        found = self.known[q] if q in self.known else q if q < len(self.page) else -1
+        self.known.update(dict.fromkeys(way, found))
+        return found
+
+    def _special(self, at: int) -> int:
+        m = _SPECIAL.search(self.page, at)
+        return m.start() if m else len(self.page)
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, kind, value, attributes) of each token; kinds: open and close (of the tag that is the
+    value), cdata, break (raw text, and tags with an open quote) and none."""
+    tags, at = _Tags(page), 0
+    while m := _HEAD.search(page, at):
+        start, at = m.span()
+        if not m["tag"]:
+            yield start, at, "cdata" if m["cdata"] else "none", m["cdata"] or "", ""
+            continue
+        end = tags.end(at)
+        if end < 0:
+            odd = _ODD.match(page, start)
+            at = odd.end() if odd else start + 1
+            if odd:
+                yield start, at, "break" if odd[1] else "none", "", ""
+        elif not m["end"] and (raw := _RAW_NAME.match(page, start + 1)):
+            close = re.compile(rf"</{raw[0]}\s*>", re.I).search(page, end + 1)
+            at = close.end() if close else len(page)
+            yield start, at, "break", "", ""
+        else:
+            yield start, end + 1, "close" if m["end"] else "open", m["tag"].lower(), page[at:end]
+            at = end + 1
+
+
 def cut(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     out: list[Block] = []
@@ -113,22 +162,21 @@ def cut(page: str) -> list[Block]:
             words.clear()
             linked.clear()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        if (tag := m["tag"]) is None:
-            if m["cdata"]:
-                text(m["cdata"].replace("&", "&amp;"))
-            elif m["raw"] or m["odd"]:
-                flush()
+    for start, end, kind, tag, attrs in _tokens(page):
+        if start > at:
+            text(page[at:start])
+        at = end
+        if kind == "cdata":
+            text(tag.replace("&", "&amp;"))
+        elif kind == "break":
+            flush()
+        if kind not in ("open", "close"):
             continue
-        tag = tag.lower()
         if tag in _BLOCK or tag in _SILENT:
             flush()
         if tag in _VOID:
             continue
-        if m["end"]:
+        if kind == "close":
             if tag == "a":
                 links = max(0, links - 1)
             for k in range(len(stack) - 1, -1, -1):
@@ -137,7 +185,7 @@ def cut(page: str) -> list[Block]:
                     del stack[k:]
                     break
             continue
-        if m["attrs"].endswith("/"):
+        if attrs.endswith("/"):
             continue
         if tag == "a":
             links += 1
@@ -150,9 +198,9 @@ def cut(page: str) -> list[Block]:
                 if part == 0 or tag == "article":
                     parts += 1
                     part = parts
-            boiler = boiler or tag in _BOILER or tag in _SILENT or tag == "header" and part == 0 or tag not in ("body", "html", "article", "main") and _marked(m["attrs"], part > 0)
+            boiler = boiler or tag in _BOILER or tag in _SILENT or tag == "header" and part == 0 or tag not in ("body", "html", "article", "main") and _marked(attrs, part > 0)
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        elif _marked(m["attrs"], part > 0) and tag in ("span", "section"):
+        elif _marked(attrs, part > 0) and tag in ("span", "section"):
             flush()
             stack.append((tag, boiler, part, heading))
             boiler = True
