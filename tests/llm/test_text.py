@@ -177,11 +177,6 @@ def test_main_text():
     assert html_text.main_text(plain) == "Good text for the reader of this and that, which is a good block of the page. Short"
 
 
-def test_undecided_blocks_inherit():
-    blocks_ = html_text.classify(html_text.cut("<p>" + "this is the text of a page that has it all " * 3 + "</p><p>Short</p><p><a>one</a></p><p>tiny</p><p><a>two</a></p>"))
-    assert [b.label for b in blocks_] == ["good", "good", "bad", "bad", "bad"]
-
-
 def test_pages_of_the_table(spark, data):
     import html as h
 
@@ -192,10 +187,6 @@ def test_pages_of_the_table(spark, data):
         assert (r.text, r.n_chars) == (expected, len(expected))
 
 
-def test_page_rows(spark):
-    rows = html_text.extract(spark.createDataFrame([(None, None, None), (1, "u", "<p>a  b</p>"), (1, "u", "<p>a  b</p>")], "page_id long, url string, html string")).collect()
-    assert sorted(map(tuple, rows), key=str) == [(1, "u", "a b", 3), (1, "u", "a b", 3), (None, None, "", 0)]
-
 
 # bytes
 

@@ -1,20 +1,29 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut at block-level tags into blocks of text. First pass: each block is
-judged by itself from its place in the page (navigation, notices, forms and the
-like are boilerplate), link density, length and stop-word density, as good, bad or
-undecided; short blocks stay undecided. Second pass: an undecided block takes the
-label of the nearest decided blocks on either side within the same part of the page
-(the article, or what is outside it); where the sides differ the nearer one counts,
-at equal distance the good one; a part without decided blocks has a default.
+A page is cut at block-level tags into blocks of text. First pass: each block gets a score
+from its stop-word density, length and link density; a block with a score above 0 is good,
+below 0 bad, and else undecided. Short blocks and headings are undecided whatever their
+words. Second pass: an undecided block takes the label of the nearest decided blocks; where
+the two sides differ the nearer one counts, at equal distance the good one. A heading goes
+with what follows it. Without decided blocks an undecided one is good.
+
+What the markup says only shifts this:
+
+* Blocks in marked elements (navigation, footers, forms, reader comments, adverts, hidden
+  elements and the like; see `_mark`) are lowered below everything, or by one for a weak
+  mark, and don't vote. Marks never empty a page: where all text of a page is marked, the
+  outermost marks are void, then the next, until the densities find something.
+* `article` and `main` are a prior. They bound the text unless over PRIOR times as much
+  unmarked text that isn't links stands outside them; within, a side that is good decides.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +33,10 @@ from webstrata.llm.shared import small_batches
 from webstrata.llm.textbytes import portions
 
 SHORT_CHARS = 70
+LONG_CHARS = 210
 LINK_DENSITY = 0.34
 STOP_DENSITY = 0.12
+PRIOR = 3
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -38,33 +49,53 @@ STOP_WORDS = frozenset(
 #: Tags whose contents are never text of the page.
 _SILENT = frozenset("script style template noscript iframe object svg math select textarea button title head".split())
 #: Tags whose contents are raw text up to the matching end tag.
-_RAW = "script|style|textarea|title|iframe|noscript|noembed|noframes|xmp"
-#: Tags that hold boilerplate wherever they stand.
-_BOILER = frozenset("nav footer aside form menu dialog".split())
+_RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
+#: Tags that hold boilerplate wherever they stand; the first ones lose that if their end tag is missing.
+_OPEN_BOILER = frozenset("nav menu header dialog aside".split())
+_BOILER = frozenset("nav footer aside form menu dialog search".split())
+#: Roles that say the same.
+_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alertdialog alert".split())
 #: Tags that begin or end a block.
 _BLOCK = frozenset(
     """address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
-    h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul""".split()
+    h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul""".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role attributes that mark boilerplate.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PARTS = frozenset(["article", "main"])
+#: What may stand in a head, and elements that end when one of their kind begins.
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
+_KIND = {"li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td", "th": "td", "option": "option"}
+#: Words of class and id attributes that mark boilerplate.
 _MARKS = frozenset(
     """ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted menu nav navbar navigation breadcrumb breadcrumbs
     sidebar side aside footer header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay
     comment comments commentlist disqus replies respond share sharing social related recommended newsletter subscribe subscription signup login search widget
-    pagination pager copyright legal disclaimer skip complementary contentinfo""".split()
+    pagination pager copyright legal disclaimer skip complementary contentinfo logo branding""".split()
 )
+#: Marks that an article's own head may have.
 _OWN_MARKS = frozenset(("header", "masthead"))
-_PARTS = frozenset(["article", "main"])
+#: Words beside which a mark is weak, and words that turn one off.
+_CONTENT_WORDS = frozenset("article body content copy entry main page post story text wrap wrapper container layout".split())
+_NEGATIONS = frozenset("no not non without hide has have with is".split())
 
 #: A token's begin; the attributes of tags are read by _Tags.
 _HEAD = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)", re.S | re.I)
-_RAW_NAME = re.compile(rf"(?:{_RAW})\b", re.I)
 _SPECIAL = re.compile(r"""[>"']""")
 _ODD = re.compile(r"</?[a-zA-Z][^<>]*(>|\Z)", re.I)
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_MARK_SPLIT = re.compile(r"[^a-z]+")
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_RELEVANT = re.compile(r"class|\bid\b|role|hidden|style", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_CAMEL = re.compile(r"([a-z0-9])([A-Z])")
+_PLAIN_WORD = re.compile(r"[^\s.,;:!?\"'()]+")
+_SPLIT = re.compile(r"[-_:.]+")
+
+
+@dataclass
+class _Mark:
+    """A marked element: does it lower its blocks below everything, or by one?"""
+
+    strong: bool
 
 
 @dataclass
@@ -72,20 +103,45 @@ class Block:
     text: str
     linked: int
     part: int
-    boiler: bool
-    heading: bool
+    marks: tuple = ()
+    heading: bool = False
     label: str = ""
-
-
-def _marked(attrs: str, inside: bool) -> bool:
-    """Do the attributes mark boilerplate? Within an article a header is the article's own."""
-    if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+    votes: bool = field(default=False)
+
+
+def _word_mark(token: str, inside: bool) -> str | None:
+    """Does a class or id mark boilerplate: strong, weak or not at all? A compound is named by its
+    last word or, if no other word speaks of content, by its first; elsewhere a mark is weak."""
+    parts = [p for p in _SPLIT.split(_CAMEL.sub(r"\1-\2", token).lower()) if p]
+    hits = [p in _MARKS and not (inside and p in _OWN_MARKS) for p in parts]
+    if not any(hits) or any(p in _NEGATIONS for p in parts):
+        return None
+    content = any(p in _CONTENT_WORDS for p in parts)
+    if hits[-1] and (len(parts) <= 2 or not content) or hits[0] and not content:
+        return "strong"
+    return "weak"
+
+
+def _mark(tag: str, attrs: str, inside: bool) -> str | None:
+    """The mark of an element by its tag, role, class, id and whether it is hidden."""
+    if tag in _BOILER or tag == "header" and not inside:
+        return "strong"
+    if tag in ("html", "body") or not attrs or not _RELEVANT.search(attrs):
+        return None
+    found = None
     for m in _ATTR.finditer(attrs):
-        found = _MARKS.intersection(_MARK_SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
-        if found - _OWN_MARKS if inside else found:
-            return True
-    return bool(_HIDDEN.search(attrs))
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return "strong"
+        if name == "role" and _ROLES.intersection(value.lower().split()):
+            return "strong"
+        if name in ("class", "id"):
+            for token in value.split():
+                mark = _word_mark(token, inside) if tag not in _PARTS else "strong" if token.lower() in _MARKS else None
+                if mark == "strong":
+                    return mark
+                found = found or mark
+    return found
 
 
 class _Tags:
@@ -124,129 +180,218 @@ def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
         if not m["tag"]:
             yield start, at, "cdata" if m["cdata"] else "none", m["cdata"] or "", ""
             continue
-        end = tags.end(at)
+        end, tag = tags.end(at), m["tag"].lower()
         if end < 0:
             odd = _ODD.match(page, start)
             at = odd.end() if odd else start + 1
             if odd:
                 yield start, at, "break" if odd[1] else "none", "", ""
-        elif not m["end"] and (raw := _RAW_NAME.match(page, start + 1)):
-            close = re.compile(rf"</{raw[0]}\s*>", re.I).search(page, end + 1)
+        elif not m["end"] and tag in _RAW:
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, end + 1)
             at = close.end() if close else len(page)
             yield start, at, "break", "", ""
         else:
-            yield start, end + 1, "close" if m["end"] else "open", m["tag"].lower(), page[at:end]
+            yield start, end + 1, "close" if m["end"] else "open", tag, page[at:end]
             at = end + 1
 
 
+class _Frame:
+    """An open block element, with the inline elements that are open in it."""
+
+    __slots__ = ("tag", "marks", "own", "part", "heading", "silent", "inline", "open")
+
+    def __init__(self, tag: str, marks: tuple, own: _Mark | None, part: int, heading: bool, silent: bool):
+        self.tag, self.marks, self.own, self.part, self.heading, self.silent = tag, marks, own, part, heading, silent
+        self.inline: list[tuple[str, tuple, bool]] = []  # tag, marks outside it, is it a link
+        self.open: dict[str, int] = {}
+
+
 def cut(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     out: list[Block] = []
     words: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, boilerplate, part, heading
-    boiler, part, heading, parts, links = False, 0, False, 0, 0
-    at = 0
-
-    def text(s: str) -> None:
-        if s:
+    frames = [_Frame("", (), None, 0, False, False)]
+    open_blocks: Counter = Counter()
+    marks: tuple = ()
+    parts, links, at = 0, 0, 0
+
+    def text(s: str, plain: bool = False) -> None:
+        if s and not frames[-1].silent:
+            s = s if plain or "&" not in s else _html.unescape(s)
             words.append(s)
             if links:
                 linked.append(s)
 
     def flush() -> None:
         if words:
-            body = " ".join(_html.unescape("".join(words)).split())
+            top = frames[-1]
+            body = " ".join("".join(words).split())
             if body:
-                out.append(Block(body, len(" ".join(_html.unescape("".join(linked)).split())), part, boiler, heading))
+                out.append(Block(body, len(" ".join("".join(linked).split())), top.part, marks, top.heading))
             words.clear()
             linked.clear()
 
+    def pop(closed: bool) -> None:
+        nonlocal marks, links
+        top = frames.pop()
+        open_blocks[top.tag] -= 1
+        if top.inline:
+            links -= sum(x[2] for x in top.inline)
+        if not closed and top.own and top.tag in _OPEN_BOILER:
+            top.own.strong = False
+        marks = top.marks
+
     for start, end, kind, tag, attrs in _tokens(page):
         if start > at:
             text(page[at:start])
         at = end
         if kind == "cdata":
-            text(tag.replace("&", "&amp;"))
+            text(tag, plain=True)
         elif kind == "break":
             flush()
         if kind not in ("open", "close"):
             continue
-        if tag in _BLOCK or tag in _SILENT:
+        block = tag in _BLOCK or tag in _SILENT
+        if block:
             flush()
         if tag in _VOID:
             continue
         if kind == "close":
-            if tag == "a":
-                links = max(0, links - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    _, boiler, part, heading = stack[k]
-                    del stack[k:]
-                    break
-            continue
-        if attrs.endswith("/"):
+            if block:
+                if open_blocks[tag] > 0:
+                    while frames[-1].tag != tag:
+                        pop(False)
+                    pop(True)
+            elif frames[-1].open.get(tag, 0) > 0:
+                top, name = frames[-1], ""
+                while name != tag:
+                    name, before, link = top.inline.pop()
+                    top.open[name] -= 1
+                    links -= link
+                    if before is not marks:
+                        flush()
+                    marks = before
             continue
-        if tag == "a":
-            links += 1
+        if attrs.endswith("/") and tag not in ("a", "p", "div", "span"):
             continue
-        if tag in _BLOCK or tag in _SILENT:
-            if tag == "p" and stack and stack[-1][0] == "p":  # a paragraph ends the one before
-                _, boiler, part, heading = stack.pop()
-            stack.append((tag, boiler, part, heading))
-            if tag in _PARTS and not boiler:
-                if part == 0 or tag == "article":
-                    parts += 1
-                    part = parts
-            boiler = boiler or tag in _BOILER or tag in _SILENT or tag == "header" and part == 0 or tag not in ("body", "html", "article", "main") and _marked(attrs, part > 0)
-            heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        elif _marked(attrs, part > 0) and tag in ("span", "section"):
+        if frames[-1].tag == "head" and tag not in _IN_HEAD:
             flush()
-            stack.append((tag, boiler, part, heading))
-            boiler = True
+            pop(False)
+        if block:
+            if frames[-1].tag == "p" and tag in _BLOCK:
+                pop(False)
+            if (own_kind := _KIND.get(tag)) and _KIND.get(frames[-1].tag) == own_kind:
+                pop(False)
+        top = frames[-1]
+        mark = _mark(tag, attrs, top.part > 0)
+        if block:
+            own = _Mark(mark == "strong") if mark else None
+            part = top.part
+            if tag in _PARTS:
+                parts += 1
+                part = parts
+            frames.append(_Frame(tag, marks, own, part, tag in _HEADINGS or top.heading and tag not in _PARTS, top.silent or tag in _SILENT))
+            open_blocks[tag] += 1
+            if own:
+                marks = (*marks, own) if len(marks) < 8 else marks
+        else:
+            link = tag == "a" and "href" in attrs.lower()
+            links += link
+            top.inline.append((tag, marks, link))
+            top.open[tag] = top.open.get(tag, 0) + 1
+            if mark:
+                flush()
+                marks = (*marks, _Mark(mark == "strong")) if len(marks) < 8 else marks
     if at < len(page):
         text(page[at:])
     flush()
+    while len(frames) > 1:
+        pop(False)
     return out
 
 
-def classify(blocks: list[Block]) -> list[Block]:
-    """Label every block good or bad; see the module's text for the two passes."""
-    has_part = any(b.part and not b.boiler for b in blocks)
-    for b in blocks:
-        n = len(b.text)
-        if b.boiler or has_part and b.part == 0:
+def stop_density(text: str) -> float:
+    ws = _PLAIN_WORD.findall(text.lower())
+    return sum(map(STOP_WORDS.__contains__, ws)) / max(1, len(ws))
+
+
+def _score(b: Block, weak: int, prior: bool) -> int:
+    """The first pass over an unmarked or weakly marked block."""
+    n = len(b.text)
+    if b.linked > LINK_DENSITY * n:
+        return -1 - (b.linked >= n and n < SHORT_CHARS) + prior - weak
+    if n < SHORT_CHARS or b.heading:
+        return -1 if b.text.startswith("©") and not prior else 0
+    if stop_density(b.text) < STOP_DENSITY:
+        return 0 if prior else -(weak > 0)
+    return (2 if n >= LONG_CHARS else 1) - weak
+
+
+def _strong(b: Block, void: int) -> bool:
+    return any(m.strong for m in b.marks[void:])
+
+
+def _labels(blocks: list[Block], void: int) -> None:
+    """Both passes, with the outermost `void` marks of each block not counted."""
+    free = [not _strong(b, void) for b in blocks]
+    plain = lambda b: len(b.text) if b.linked <= LINK_DENSITY * len(b.text) else 0
+    inside = sum(plain(b) for b, f in zip(blocks, free) if f and b.part)
+    outside = sum(plain(b) for b, f in zip(blocks, free) if f and not b.part)
+    bounded = inside > 0 and PRIOR * inside >= outside
+    for b, f in zip(blocks, free):
+        part = b.part if bounded else 0
+        b.votes = False
+        if not f or bounded and not b.part and not b.heading:
             b.label = "bad"
-        elif b.linked / n > LINK_DENSITY:
-            b.label = "bad" if not b.part or b.linked == n and n < SHORT_CHARS else "undecided"
-        elif n < SHORT_CHARS or b.heading:
-            b.label = "undecided"
-        elif b.part:
-            b.label = "good"
-        else:
-            ws = b.text.lower().split()
-            stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in ws) / len(ws)
-            b.label = "good" if stop >= STOP_DENSITY or n >= 3 * SHORT_CHARS else "undecided"
-    # distances to the nearest decided block of the same part, on both sides
+            continue
+        score = _score(b, sum(not m.strong for m in b.marks[void:]), part > 0)
+        b.label = "good" if score > 0 else "bad" if score < 0 else "undecided"
+        b.votes = score != 0
+    # nearest votes of the same part, on both sides; a heading outside the parts looks into what follows it
+    scope = [b.part if bounded else 0 for b in blocks]
     left: list[tuple[int, str] | None] = []
     last: dict[int, tuple[int, str]] = {}
     for i, b in enumerate(blocks):
-        left.append(last.get(b.part))
-        if b.label != "undecided":
-            last[b.part] = (i, b.label)
-    last, found = {}, [b.label for b in blocks]
+        left.append(last.get(scope[i]))
+        if b.votes:
+            last[scope[i]] = (i, b.label)
+    last, found, following = {}, [b.label for b in blocks], None
     for i in range(len(blocks) - 1, -1, -1):
         b = blocks[i]
-        if b.label != "undecided":
-            last[b.part] = (i, b.label)
-            continue
-        sides = [(abs(i - x[0]), x[1] != "good", x[1]) for x in (left[i], last.get(b.part)) if x]
-        if b.part and any(not s[1] for s in sides):
-            found[i] = "good"
-        else:
-            found[i] = min(sides)[2] if sides and not b.part else "good" if b.linked < len(b.text) or b.part else "bad"
+        if b.label == "undecided":
+            before, after = left[i], last.get(scope[i])
+            if bounded and not b.part:
+                found[i] = "good" if following == "good" else "bad"
+            elif b.heading and after:
+                found[i] = after[1]
+            else:
+                sides = [(abs(i - x[0]), x[1] != "good", x[1]) for x in (before, after) if x]
+                if scope[i] and any(not s[1] for s in sides) or not sides:
+                    found[i] = "good" if sides or not void else "bad"
+                else:
+                    found[i] = min(sides)[2]
+        if b.votes:
+            last[scope[i]] = (i, b.label)
+        if free[i]:
+            following = found[i]
     for b, label in zip(blocks, found):
         b.label = label
+
+
+def classify(blocks: list[Block]) -> list[Block]:
+    """Label every block good or bad; see the module's text."""
+    deepest = max((len(b.marks) for b in blocks), default=0)
+    for void in range(deepest + 1):
+        _labels(blocks, void)
+        if any(b.label == "good" for b in blocks):
+            return blocks
+        if void == 0:
+            plain = [b for b in blocks if not _strong(b, 0) and b.linked <= LINK_DENSITY * len(b.text) and not b.text.startswith("©")]
+            if plain:
+                for b in plain:
+                    b.label = "good"
+                return blocks
     return blocks
 
 
@@ -261,7 +406,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page row: page_id, url, text, n_chars. Narrow: no shuffle.
 
     Null and empty html give an empty text; broken markup, open comments and cut tags are
-    read up to the end; repeated rows give a row each; other columns are not read."""
+    read up to the end; pages, attributes and raw texts may have any length, in linear time.
+    An empty table gives no rows; repeated rows give a row each; other columns, whatever
+    their names, are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
