@@ -9,7 +9,7 @@ import pytest
 from tests.llm.helpers import ODD, frame, random_docs
 from webstrata.llm import bpe, decontamination, html_text, quality
 from webstrata.llm.queries import default_tokenizer
-from webstrata.llm.textbytes import ASCII_SPACE, blocks, prefix_hashes, slice_hashes, words
+from webstrata.llm.textbytes import ASCII_SPACE, blocks, keyed_hashes, prefix_hashes, slice_hashes, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -91,30 +91,62 @@ def test_quality_measures_equal_brute_force(spark):
     assert all(r.kept == (not r.base_failed and r.score >= quality.THRESHOLD) for r in rows)
 
 
+_M = (1 << 64) - 1
+
+
+def _mixed(h):
+    for _ in range(2):
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & _M
+    return h ^ h >> 32
+
+
+def _keyed(word, keys):
+    """A word's hash, byte by byte."""
+    lanes = [int.from_bytes(word[i : i + 8], "little") for i in range(0, len(word), 8)] or [0]
+    return _mixed((sum(_mixed(x ^ k) for x, k in zip(lanes, keys)) + len(word) * 0x9E3779B97F4A7C15) & _M)
+
+
+def brute_scores(docs, trusted):
+    keys = [int(x) for x in np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 64, 1024, dtype=np.uint64)]
+    own = []
+    for _, t in docs:
+        h = [_keyed(x, keys) for x in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", (t or "").encode())]
+        own.append(Counter([x % 65536 for x in h] + [_mixed((3 * x + y) & _M) % 65536 for x, y in zip(h, h[1:])]))
+    raw, good = sum(own, Counter()), sum((c for c, (d, _) in zip(own, docs) if d in trusted), Counter())
+    out = []
+    for c, (d, _) in zip(own, docs):
+        less = c if d in trusted else Counter()
+        t, r = good.total() - less.total(), raw.total() - c.total()
+        out.append(sum(n * np.log(((good[b] - less[b]) / t + 1e-4) / ((raw[b] - c[b]) / r + 1e-4)) for b, n in c.items()) / max(1, c.total()) if t and r else 0.0)
+    return out
+
+
 def test_quality_scores_equal_brute_force(spark):
-    docs = random_docs(60)
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
-    ratios = quality.log_ratios(frame(spark, docs), labels)
-    bucket = lambda *ws: _bucket(ws)
-    raw, good = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
-    grams = {}
-    for d, t in docs:
-        w = t.split()
-        grams[d] = [bucket(x) for x in w] + [bucket(x, y) for x, y in zip(w, w[1:])]
-        np.add.at(raw, grams[d], 1)
-        if d < 20:
-            np.add.at(good, grams[d], 1)
-    expected = quality.ratios_of(raw, good)
-    assert np.allclose(ratios, expected)
-    for r in quality.judge(frame(spark, docs), labels).collect():
-        assert abs(r.score - np.mean(expected[grams[r.doc_id]])) < 1e-9
+    docs = [(i, t) for i, t in random_docs(60)] + [(800, ""), (801, None), (802, "x***, y$$$ --- ###\tz_1"), (803, "word " * 300_000), (803, "a b c")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(20), 802]], "doc_id long, quality int, toxic int")
+    expected = Counter((d, round(x, 9)) for (d, _), x in zip(docs, brute_scores(docs, {*range(20), 802})))
+    assert Counter((r.doc_id, round(r.score, 9)) for r in quality.judge(frame(spark, docs), labels).collect()) == expected
+
+
+def test_lines_and_words_that_polynomials_confuse(spark):
+    """A Thue-Morse text and its complement have equal polynomial hashes modulo 2**64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = quality.judge(frame(spark, [(1, f"{a}\n{b}\n{a}"), (2, f"x y {a} x y {b}")]), labels).collect()
+    assert {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in rows} == {1: (1, 0), 2: (0, 0)}
+    from webstrata.llm import minhash
+
+    x, y, z = minhash.shingle_sets(pa.array([a, b, a]))
+    assert x.tolist() == z.tolist() != y.tolist()
 
 
-def _bucket(ws):
-    data = " ".join(ws).encode()
-    buf = np.frombuffer(data, np.uint8)
-    found, _ = quality._Words(buf, np.array([0, len(buf)])).grams()
-    return int(found[-1])
+def test_keyed_hashes_are_of_the_content():
+    data = np.frombuffer(b"0123456789abcdefX0123456789abcdef0123456789abcdef\0", np.uint8)
+    at = np.array([0, 17, 33, 33, 0, 0, 8])
+    a, b = keyed_hashes(data, at, np.array([16, 33, 49, 50, 8, 0, 8]))
+    assert a[0] == a[1] == a[2] and b[0] == b[1] == b[2] and a[5] == a[6]
+    assert len(set(a.tolist())) == len(set(b.tolist())) == 4
 
 
 def test_quality_without_trusted_documents(spark):
@@ -123,13 +155,15 @@ def test_quality_without_trusted_documents(spark):
     assert quality.judge(frame(spark, []), labels).collect() == []
 
 
-def test_quality_separates_labelled_documents(spark, data):
-    """On the labelled documents: good ones stay, and most bad ones go."""
-    docs, labels = (spark.read.parquet(f"{data.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
-    rows = quality.judge(docs, labels).join(labels, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
+@pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
+def test_quality_separates_labelled_documents(spark, data, size):
+    """Every score leaves the document itself out, so all labelled ones are held out."""
+    docs, labels = (spark.read.parquet(f"{data.replace('0.001', size)}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judge(docs, labels).join(labels, "doc_id", "left").where("not base_failed").groupBy("quality", "kept").count().collect()
     n = {(r.quality, r.kept): r["count"] for r in rows}
-    assert n.get((1, False), 0) <= 0.002 * n[1, True]
-    assert n.get((0, True), 0) <= 0.05 * n[0, False]
+    assert n.get((1, False), 0) <= 0.01 * n[1, True]
+    assert n[0, False] >= 0.95 * (n[0, False] + n.get((0, True), 0))
+    assert n.get((None, False), 0) <= 0.12 * n[None, True]  # about a twelfth of the labelled ones is bad
 
 
 # tokens

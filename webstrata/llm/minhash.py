@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm.shared import components, forget, small_batches, written
-from webstrata.llm.textbytes import ASCII_SPACE, LOWER, NULL_ID, blocks, mix, portions, prefix_hashes, slice_hashes, words
+from webstrata.llm.textbytes import ASCII_SPACE, LOWER, NULL_ID, blocks, keyed_hashes, mix, portions, words
 
 SHINGLE_WORDS = 5
 PERCENT = 85
@@ -61,23 +61,26 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of a column."""
+    """The sorted distinct shingle hashes of each text of a column.
+
+    Words have keyed 128-bit hashes; a shingle's 64-bit hash is mixed from all bits of its words'.
+    Two different shingles of a pair of documents get one hash with a chance of 2**-64 for
+    each pair of shingles, whatever the texts are."""
     for first, last, data, offsets in blocks(column):
         data = LOWER[data]
         starts, ends, word = words(ASCII_SPACE[data], offsets)
-        h = slice_hashes(prefix_hashes(data), starts, ends)
+        h, g = keyed_hashes(data, starts, ends)
         n = max(0, len(h) - SHINGLE_WORDS + 1)
         five = np.zeros(n, np.uint64)
         for k in range(SHINGLE_WORDS):
-            five = mix(five + h[k : k + n])
+            five = mix(mix(five + h[k : k + n]) ^ g[k : k + n])
         for a, b in zip(word[:-1].tolist(), word[1:].tolist()):
             if b - a >= SHINGLE_WORDS:
                 yield np.unique(five[a : b - SHINGLE_WORDS + 1])
             elif b > a:
-                one = np.uint64(b - a) * np.uint64(0x2545F4914F6CDD1D)
-                one = np.array([one], np.uint64)
+                one = np.array([b - a], np.uint64) * np.uint64(0x2545F4914F6CDD1D)
                 for k in range(a, b):
-                    one = mix(one + h[k : k + 1])
+                    one = mix(mix(one + h[k : k + 1]) ^ g[k : k + 1])
                 yield one
             else:
                 yield h[:0]

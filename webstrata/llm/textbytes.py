@@ -99,11 +99,52 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def slice_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end]; equal contents have equal hashes wherever they stand."""
+    """64-bit hashes of data[start:end] for overlapping slices of equal, small size (under 1,000 bytes: longer
+    texts can be built that collide under any multiplier); `keyed_hashes` is for words and lines."""
     _, down = powers(len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+_LANE_MASK = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+_keys: dict[str, np.ndarray] = {}
+
+
+def _lane_keys(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fixed random words for the first n lanes of a slice, two for each."""
+    if len(_keys.get("a", ())) < n:
+        size = max(n, 1024)
+        for name, seed in (("a", 23), ("b", 24)):
+            _keys[name] = _random_words(1 << (size - 1).bit_length(), seed)
+    return _keys["a"], _keys["b"]
+
+
+def keyed_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes (two words each) of data[start:end]; equal contents have equal hashes wherever they stand.
+
+    A slice is read in lanes of eight bytes. Each lane is mixed with a random word of its own
+    place, the lanes are added and the sum is mixed with the length; so there is no polynomial
+    whose zeros texts could hit, and slices of one lane and equal length never collide."""
+    size = (ends - starts).astype(np.int64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    view = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    lanes = np.maximum(1, (size + 7) // 8)
+    key_a, key_b = _lane_keys(int(lanes.max()) if len(lanes) else 1)
+    lane = view[starts] & _LANE_MASK[np.minimum(size, 8)]
+    a, b = mix(lane ^ key_a[0]), mix(lane + key_b[0])
+    long = np.flatnonzero(lanes > 1)
+    if len(long):
+        more = lanes[long] - 1
+        begin = np.cumsum(more) - more
+        nth = np.arange(more.sum()) - np.repeat(begin, more) + 1
+        at = np.repeat(starts[long], more) + 8 * nth
+        lane = view[at] & _LANE_MASK[np.minimum(np.repeat(ends[long], more) - at, 8)]
+        a[long] += np.add.reduceat(mix(lane ^ key_a[nth]), begin)
+        b[long] += np.add.reduceat(mix(lane + key_b[nth]), begin)
+    odd = size.astype(np.uint64) * MULTIPLIER
+    return mix(a + odd), mix(b ^ odd)
+
+
 def words(is_space: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes that aren't spaces, which never cross texts; and
     for each text the index of its first word (one more entry closes the last)."""
