@@ -125,9 +125,10 @@ def component_ids(docs):
     return {d: (len(s), find(d)) for d, s in sets}
 
 
-@pytest.mark.parametrize("members", [256, 4])
-def test_minhash_equals_all_pairs(spark, members, monkeypatch):
+@pytest.mark.parametrize("members, size", [(256, 4 << 20), (4, 4 << 20), (1, 1), (256, 60)])
+def test_minhash_equals_all_pairs(spark, members, size, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(minhash, "BLOCK_WORDS", size)
     docs = random_docs(220, seed=12) + ODD
     expected = component_ids(docs)
     rows = minhash.classes(frame(spark, docs)).collect()
@@ -137,6 +138,50 @@ def test_minhash_equals_all_pairs(spark, members, monkeypatch):
         assert r.kept == (r.component_id == r.doc_id)
 
 
+def template_docs(n=240, seed=3):
+    """Texts from one template: most share a band, few are similar, and some stand in chains."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(200)]
+    docs = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.choice([2, 4, 9, 12])):
+            words[rng.randrange(200)] = f"x{rng.randrange(4000)}"
+        docs.append((i, " ".join(words)))
+        if i % 9 == 0 and i:
+            near = docs[-2][1].split()
+            near[rng.randrange(200)] = f"y{i}"
+            docs[-1] = (i, " ".join(near))
+    return docs
+
+
+def test_minhash_of_templates(spark, monkeypatch):
+    """Large open buckets go by rare shingles: fewer pairs of sets meet, and no link is lost."""
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 8)
+    met = []
+    real = minhash._by_rare_shingles
+    monkeypatch.setattr(minhash, "_by_rare_shingles", lambda *a: met.append(1) or real(*a))
+    docs = template_docs()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.classes(frame(spark, docs)).collect()} == component_ids(docs)
+    assert met
+
+
+def test_minhash_of_repeated_ids(spark):
+    """Rows of one id with different texts: each by its own text, always the same."""
+    w = [f"w{i}" for i in range(60)]
+    docs = [(5, " ".join(w[:40])), (5, " ".join(w[20:])), (3, " ".join(w[:40])), (9, " ".join(w[20:])), (11, " ".join(w[20:] + ["z"])), (5, "")]
+    rows = {tuple(r) for r in minhash.classes(frame(spark, docs)).select("doc_id", "n_shingles", "component_id").collect()}
+    assert rows == {(5, 36, 3), (5, 36, 5), (3, 36, 3), (9, 36, 5), (11, 37, 5), (5, 0, 5)}
+    assert rows == {tuple(r) for r in minhash.classes(frame(spark, docs[::-1])).select("doc_id", "n_shingles", "component_id").collect()}
+
+
+def test_open_groups_know_equal_members(spark):
+    ids = [(b, i, i % 3, 7) for b in (1, 2) for i in range(6)] + [(3, i, i % 3, 7) for i in (0, 1, 2, 3, 4, 6)] + [(4, 8, 1, 7), (4, 11, 1, 7)]
+    rows = minhash._open_groups(spark.createDataFrame(ids, "bucket long, id long, label long, n long")).collect()
+    assert sorted({r.bucket for r in rows}) == [1, 3]
+    assert {(r.n_main, r.n_rest, r.words_main) for r in rows if r.bucket == 1} == {(2, 4, 14)}
+
+
 def test_minhash_chains(spark):
     """Each text is linked with the next only: the component follows the chain."""
     w = [f"w{i}" for i in range(400)]

@@ -11,8 +11,14 @@ banded; documents that share a band are candidates.
    exactly, on full shingle sets; components of the links so far follow.
 3. Buckets that still hold several components are compared exactly, in blocks: all pairs
    of one block of members with another in one matrix product, so that no task holds
-   more than two blocks. Members of the bucket's largest component (that of its smallest
-   member) need not be compared with one another. Components follow again.
+   more than two blocks, whose members and bytes are bounded. Members of the component of
+   the bucket's smallest member need not be compared with one another. Components follow again.
+4. Of buckets with more than one block of members outside that component, sets are not sent
+   to all blocks. Two sets can only be similar if they share one of the rarest shingles of
+   each: of n shingles, ordered by the number of such sets that hold them, the first
+   n - ceil(n * percent / 100) + 1. So these members are grouped again by those shingles (the ones
+   that no other set has can't be shared and form no group), and the groups go the way of 3.
+   Texts made from one template, which share a band but not their rare shingles, part here.
 
 No link between different texts that share a band is missed. With 24 bands of 4 rows two
 sets of similarity 0.85 fail to share a band with a chance of 2e-8, of 0.8 with one of 3e-6.
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webstrata.llm.shared import components, forget, small_batches, written
@@ -36,7 +42,7 @@ SHINGLE_WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 24, 4
 SLOT_BITS = 20
-BLOCK_MEMBERS = 256
+BLOCK_MEMBERS, BLOCK_WORDS = 256, 4 << 20
 
 _K = BANDS * ROWS
 _state: dict[str, np.ndarray] = {}
@@ -114,14 +120,16 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, set): the shingle sets, as sorted 64-bit words, of the documents whose ids are wanted."""
+    """(id, set): the shingle sets, as sorted 64-bit words, of the wanted (id, set_key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["id", "set"])
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["id", "set_key", "set"])
 
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(wanted, "id", "left_semi").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+    found = texts.join(wanted, "id", "left_semi").mapInArrow(run, "id long, set_key binary, set binary")
+    return found.join(wanted, ["id", "set_key"], "left_semi").groupBy("id").agg(F.first("set").alias("set"))  # equal keys, equal sets
 
 
 def _similar(inter: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -235,50 +243,104 @@ def _check_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
 
 
+def _open_groups(members: DataFrame) -> DataFrame:
+    """Of rows (bucket, id, label, n) those of buckets with several labels, and what the buckets hold:
+    in_main (has the row the label of the bucket's smallest id), n_main, n_rest, words_main, words_rest.
+    Of buckets with equal members one is left."""
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("id", "label"))["label"].alias("main"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    sides = members.join(pivots.select("bucket", "main"), "bucket").select("bucket", "id", "label", "n", (F.col("label") == F.col("main")).alias("in_main"))
+    is_main, is_rest = F.col("in_main").cast("long"), 1 - F.col("in_main").cast("long")
+    marks = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(20,0)")).alias(f"mark{k}") for k in (1, 2)]
+    sizes = sides.groupBy("bucket").agg(
+        F.sum(is_main).alias("n_main"), F.sum(is_rest).alias("n_rest"), F.sum(is_main * F.col("n")).alias("words_main"), F.sum(is_rest * F.col("n")).alias("words_rest"), F.max("id").alias("top"), *marks
+    )
+    told = ["n_main", "n_rest", "words_main", "words_rest"]
+    sizes = sizes.groupBy(*told, "top", "mark1", "mark2").agg(F.min("bucket").alias("bucket"))
+    return sides.join(sizes.select("bucket", *told), "bucket")
+
+
+def _n_blocks(n: str, words: str) -> Column:
+    return F.greatest(F.ceil(F.col(n) / BLOCK_MEMBERS), F.ceil(F.col(words) / BLOCK_WORDS)).cast("int")
+
+
+def _links_in_blocks(placed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different labels of the groups of `_open_groups`: every block of members
+    meets every other one in a task of its own, but main blocks don't meet main blocks."""
+    placed = placed.withColumn("r", _n_blocks("n_rest", "words_rest")).withColumn("m", _n_blocks("n_main", "words_main"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("m")).otherwise(F.col("r"))).cast("int"))
+    all_rest, all_main = F.sequence(F.lit(0), F.col("r") - 1), F.sequence(F.col("r"), F.col("r") + F.col("m") - 1)
+    task = F.when(F.col("in_main"), F.transform(all_rest, lambda x: F.struct(x.alias("x"), (F.col("r") + F.col("own")).alias("y")))).otherwise(
+        F.concat(
+            F.transform(all_rest, lambda x: F.struct(F.least(x, F.col("own")).alias("x"), F.greatest(x, F.col("own")).alias("y"))),
+            F.transform(all_main, lambda y: F.struct(F.col("own").alias("x"), y.alias("y"))),
+        )
+    )
+    tasks = placed.select("bucket", "id", "label", F.explode(task).alias("t")).select("bucket", (F.col("t.x").cast("long") * (1 << 31) + F.col("t.y")).alias("task"), "id", "label")
+    spread = tasks.join(known, "id").select("bucket", "task", "id", "label", "set").repartition("bucket", "task").sortWithinPartitions("bucket", "task")
+    return spread.mapInArrow(functools.partial(_check_blocks, percent=percent), "a long, b long")
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, label, set): (id, label, n, shingle), one row for each shingle."""
+    for batch in portions(batches, 64):
+        sets = list(_views(batch.column(2)))
+        size = np.array([len(x) for x in sets])
+        wide = lambda k: pa.array(np.repeat(batch.column(k).to_numpy(), size))
+        yield pa.RecordBatch.from_arrays([wide(0), wide(1), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "label", "n", "shingle"])
+
+
+def _by_rare_shingles(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Groups (bucket, id, label, n) of the members (id, label) by their rarest shingles: all similar pairs meet."""
+    rows = written(members.join(known, "id").select("id", "label", "set").mapInArrow(_exploded, "id long, label long, n long, shingle long"))
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    own = Window.partitionBy("id")
+    ranked = rows.join(shared, "shingle").select(
+        "id", "label", "n", "shingle", F.row_number().over(own.orderBy("sets", "shingle")).alias("rank"), F.count("*").over(own).alias("n_shared")
+    )
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return ranked.where(F.col("rank") <= prefix - (F.col("n") - F.col("n_shared"))).select(F.col("shingle").alias("bucket"), "id", "label", "n")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept, set_id (the smallest id
     with an equal set; the id itself for an empty one).
 
-    Documents are linked from a Jaccard similarity of `percent` hundredths on. Texts without words, null ones included, link with nothing. A null id sorts before all
-    others and comes back null. Rows that share an id are taken for one document of the set
-    that comes first by its digest: links of either join them. Other columns are not read."""
+    Documents are linked from a Jaccard similarity of `percent` hundredths on. Texts without words,
+    null and empty ones included, link with nothing; texts of any length are read whole. A null id
+    sorts before all others and comes back null. Repeated rows are one document. Rows that share an
+    id and not their text are judged by their own texts; where such an id is the smallest of several
+    sets, the one with the smallest digest is compared with others. An empty table gives no rows.
+    Other columns, whatever their names, are not read."""
     small_batches(docs.sparkSession)
     found = written(sketches(docs, id_col, text_col))
     # one document for each distinct set
     sets = found.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"))
-    reps = written(found.where("n_shingles > 0").join(sets, "set_key").where("id = rep").dropDuplicates(["id"]).select("id", F.explode("bands").alias("bucket")))
-    buckets = reps.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = written(reps.join(buckets, "bucket").select("bucket", "id", "pivot"))
+    first = found.where("n_shingles > 0").join(sets, "set_key").where("id = rep").groupBy("id").agg(F.min("set_key").alias("set_key"), F.min_by(F.struct("n_shingles", "bands"), "set_key").alias("s"))
+    reps = written(first.select("id", "set_key", F.col("s.n_shingles").alias("n"), F.explode("s.bands").alias("bucket")))
+    buckets = reps.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n_members")).where("n_members > 1")
+    members = written(reps.join(buckets, "bucket").select("bucket", "id", "set_key", "n", "pivot"))
 
     # every member with the smallest of its bucket
     pairs = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    known = written(sets_of(docs, members.select("id").distinct(), id_col, text_col))
+    known = written(sets_of(docs, members.select("id", "set_key").distinct(), id_col, text_col))
     both = pairs.join(known.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(known.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     links = written(both.select("a", "b", "set_a", "set_b").mapInArrow(functools.partial(_check_pairs, percent=percent), "a long, b long"))
 
     # what is left: buckets with several components, in blocks
     label = components(links)
-    labelled = members.join(label, "id", "left").select("bucket", "id", "pivot", F.coalesce("root", "id").alias("label"))
-    head = labelled.where("id = pivot").select("bucket", F.col("label").alias("main"))
-    sides = labelled.join(head, "bucket").select("bucket", "id", "label", (F.col("label") == F.col("main")).cast("int").alias("in_main"))
-    sizes = sides.groupBy("bucket").agg(F.sum("in_main").alias("n_main"), F.sum(1 - F.col("in_main")).alias("n_rest"), F.sum(F.hash("id").cast("long")).alias("mark"), F.sum(F.hash("id", F.lit(1)).cast("long")).alias("mark2"), F.max("id").alias("top")).where("n_rest > 0")
-    # buckets of equal members are one
-    sizes = sizes.groupBy("n_main", "n_rest", "mark", "mark2", "top").agg(F.min("bucket").alias("bucket")).where("n_main + n_rest > 2 or n_rest > 1")
-    rest_blocks, main_blocks = F.ceil(F.col("n_rest") / BLOCK_MEMBERS).cast("int"), F.ceil(F.col("n_main") / BLOCK_MEMBERS).cast("int")
-    placed = sides.join(sizes, "bucket").withColumn("r", rest_blocks).withColumn("m", main_blocks)
-    placed = placed.withColumn("own", F.when(F.col("in_main") == 1, F.pmod(F.xxhash64("id"), F.col("m"))).otherwise(F.pmod(F.xxhash64("id"), F.col("r"))).cast("int"))
-    all_rest, all_main = F.sequence(F.lit(0), F.col("r") - 1), F.sequence(F.col("r"), F.col("r") + F.col("m") - 1)
-    task = F.when(F.col("in_main") == 1, F.transform(all_rest, lambda x: F.struct(x.alias("x"), (F.col("r") + F.col("own")).alias("y")))).otherwise(
-        F.concat(
-            F.transform(all_rest, lambda x: F.struct(F.least(x, F.col("own")).alias("x"), F.greatest(x, F.col("own")).alias("y"))),
-            F.transform(all_main, lambda y: F.struct(F.col("own").alias("x"), y.alias("y"))),
-        )
-    )
-    tasks = placed.select("bucket", "id", "label", F.explode(task).alias("t")).select("bucket", (F.col("t.x").cast("long") * (1 << 31) + F.col("t.y")).alias("task"), "id", "label")
-    spread = tasks.join(known, "id").select("bucket", "task", "id", "label", "set").repartition("bucket", "task").sortWithinPartitions("bucket", "task")
-    more = written(spread.mapInArrow(functools.partial(_check_blocks, percent=percent), "a long, b long"))
+    labelled = members.join(label, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("label"))
+    # two members have been compared, as one of them was the pivot
+    placed = written(_open_groups(labelled).where("n_main + n_rest > 2"))
+    large = _n_blocks("n_rest", "words_rest") > 1
+    more = written(_links_in_blocks(placed.where(~large), known, percent))
+    done = [reps, members, known, links, more, placed]
+    hot = placed.where(large).select("id", "label").distinct()
+    if not hot.isEmpty():
+        rare = _by_rare_shingles(written(hot), known, percent)
+        done.append(written(_links_in_blocks(_open_groups(written(rare)), known, percent)))
+        more = more.unionByName(done[-1])
     label = components(links.unionByName(more)) if not more.isEmpty() else label
-    for table in (reps, members, known, links, more):
+    for table in done:
         forget(table)
 
     ends = sets.join(label, sets["rep"] == label["id"], "left").select("set_key", "rep", F.coalesce("root", "rep").alias("component"))
@@ -293,6 +355,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns."""
-    kept = classes(docs, id_col, text_col, percent).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_kept_id")).distinct()
-    return docs.join(kept, F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)) == kept["_kept_id"], "left_semi")
+    """The document rows whose id is the smallest of their component, with all their columns, whatever their names.
+
+    Documents without words, null and empty texts included, all stay; so do repeated rows of a
+    document that stays. A null id counts as the smallest. An empty table gives an empty one."""
+    kept = classes(docs, id_col, text_col, percent).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("kept_id")).distinct()
+    return docs.join(kept, F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)) == kept["kept_id"], "left_semi")
