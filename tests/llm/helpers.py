@@ -39,4 +39,5 @@ def frame(spark, docs, columns="doc_id long, text string"):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(docs, columns).repartition(3)
-    return df.withColumn("spans", F.lit(1)).withColumn("id", F.lit("x")).withColumn("bucket", F.lit(2.5))
+    clashing = {"spans": F.lit(1), "id": F.lit("x"), "bucket": F.lit(2.5), "Spans_of": F.lit(True), "_spans": F.lit("y"), "kept_id": F.lit(0), "gram": F.lit(1.5), "set_key": F.lit(4)}
+    return df.withColumns(clashing)

@@ -62,46 +62,97 @@ def test_cut_out_keeps_columns_and_characters(spark):
     assert out[2].text == "yyz" and (out[2].spans, out[2].id, out[2].bucket) == (1, "x", 2.5)
 
 
-def chunks_of(b):
-    start, end = chunk_dedup.cuts(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
-    return [(s, e, b[s:e]) for s, e in zip(start.tolist(), end.tolist())]
+GEAR = [int(x) for x in np.random.Generator(np.random.PCG64(41)).integers(0, 1 << 32, 256, dtype=np.uint32)]
 
 
-def test_chunk_dedup_equals_brute_force(spark):
-    docs = random_docs(seed=9) + ODD
-    seen, out = set(), {}
-    done = set()
+def chunks_of(b):
+    """Chunks byte by byte: the least gear hash of 24 places on either side cuts."""
+    h = [None if p < 16 else min(sum(GEAR[b[p - j]] << j for j in range(16)) % (1 << 32), (1 << 32) - 2) for p in range(len(b))]
+    ends, last = [], -100
+    for p in range(16, len(b)):
+        if h[p] == min(x for x in h[max(0, p - 24) : p + 25] if x is not None) and p - last >= 12:
+            ends.append(p + 1)
+            last = p
+    edges = [0, *[e for e in ends if e < len(b)], len(b)]
+    return [(s + k, min(s + k + 4096, e), b[s + k : min(s + k + 4096, e)]) for s, e in zip(edges, edges[1:]) for k in range(0, e - s, 4096)]
+
+
+def removed_chunks(docs, least):
+    seen, out, done = set(), {}, set()
     for d, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
         if d in done:
             continue
         done.add(d)
         b = (t or "").encode()
-        spans = []
+        runs = []
         for s, e, c in chunks_of(b) if b else []:
             if c in seen:
-                spans.append((s, e))
+                if runs and runs[-1][1] == s:
+                    runs[-1] = (runs[-1][0], e)
+                else:
+                    runs.append((s, e))
             seen.add(c)
-        runs = []
-        for s, e in spans:
-            if runs and runs[-1][1] == s:
-                runs[-1] = (runs[-1][0], e)
-            else:
-                runs.append((s, e))
-        runs = [r for r in runs if r[1] - r[0] >= chunk_dedup.MIN_RUN]
+        runs = [r for r in runs if r[1] - r[0] >= least]
         out[d] = (len(b), sum(e - s for s, e in runs), len(runs), hashlib.sha256(S.kept_bytes(b, runs)).hexdigest())
-    rows = chunk_dedup.dedup_report(frame(spark, docs)).collect()
+    return out
+
+
+CHUNKY = [(930, "ab" * 900), (931, "x " + "abc" * 500 + "ab" * 40), (932, "a" * 9000), (933, "the the " * 300 + "end"), (934, "")]
+
+
+@pytest.mark.parametrize("least", [1, 100])
+def test_chunk_dedup_equals_brute_force(spark, least):
+    docs = random_docs(seed=9) + ODD + CHUNKY
+    expected = removed_chunks(docs, least)
+    rows = chunk_dedup.dedup_report(frame(spark, docs), least=least).collect()
     assert len(rows) == len(docs)
     for r in rows:
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == out[r.doc_id], r
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id], r
+    kept = chunk_dedup.without_repeats(frame(spark, docs), chars_col=None, least=least)
+    assert kept.columns == frame(spark, docs).columns
+    assert all(len((r.text or "").encode()) >= expected[r.doc_id][0] - expected[r.doc_id][1] for r in kept.collect())
 
 
 def test_chunks_resist_insertions():
     b = " ".join(t for _, t in random_docs(40)).encode()
     before, after = {c for *_, c in chunks_of(b)}, {c for *_, c in chunks_of(b[:1000] + b"something new" + b[1000:])}
-    assert len(before - after) <= 2
+    assert len(before - after) <= 3
     assert all(len(c) <= chunk_dedup.MAX_CHUNK for *_, c in chunks_of(b"a" * 20_000))
 
 
+def test_cuts_do_not_depend_on_the_block():
+    texts = [(t or "").encode() for _, t in random_docs(30) + ODD + CHUNKY]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    start, end = chunk_dedup.cuts(data, offsets)
+    assert [(s, e) for s, e in zip(start.tolist(), end.tolist())] == [(o + s, o + e) for o, t in zip(offsets.tolist(), texts) for s, e, _ in chunks_of(t) if t]
+
+
+def test_repeated_passages_of_short_periods_are_found(spark):
+    """Passages of 300 bytes of any period are removed from the second of two contexts but for their ends."""
+    rng = random.Random(8)
+    docs, long = [], lambda: "".join(rng.choices("abcdefgh ", k=200))
+    for p in range(1, 40):
+        passage = ("".join(rng.choices("abcdefghijk ", k=p)) * 300)[:300]
+        docs += [(2 * p, long() + passage + long()), (2 * p + 1, long() + passage + long())]
+    rows = {r.doc_id: r for r in chunk_dedup.dedup_report(frame(spark, docs), least=100).collect()}
+    assert all(150 <= rows[2 * p + 1].n_removed <= 300 for p in range(1, 40))
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Columns named like the operators' own stay as they are, and texts over 1 MB are read whole."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400_000)]
+    passage = " ".join("".join(rng.choices("ijklmnop", k=6)) for _ in range(60))
+    docs = [(1, " ".join(words[:200_000]) + passage), (2, passage + " ".join(words[200_000:])), (3, None)]
+    for operator in (suffix_dedup.without_repeats, chunk_dedup.without_repeats):
+        out = {r.doc_id: r for r in operator(frame(spark, docs), chars_col="Spans_of" if operator is None else None).collect()}
+        assert out[1].text == docs[0][1] and out[3].text is None
+        assert len(passage) - 110 <= len(docs[1][1]) - len(out[2].text) <= len(passage) and out[2].text.endswith(words[-1])
+        assert (out[2].spans, out[2].id, out[2].bucket, out[2].Spans_of, out[2]._spans) == (1, "x", 2.5, True, "y")
+    kept = minhash.one_of_each(frame(spark, docs + [(4, docs[0][1] + " more")])).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 3] and all(r.kept_id == 0 for r in kept)
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()

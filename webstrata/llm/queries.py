@@ -37,7 +37,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_dedup.dedup_report(_table(spark, sf_dir, "documents"))
+    return chunk_dedup.dedup_report(_table(spark, sf_dir, "documents"), least=chunk_dedup.LEAST_RUN)
 
 
 def default_tokenizer() -> str:

@@ -21,8 +21,9 @@ def key(docs: DataFrame, id_col: str) -> Column:
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     """All documents with an array of their spans (id, s, e) as one more, last column, whose name is new."""
+    taken = {c.lower() for c in docs.columns}
     name = "spans"
-    while name in docs.columns:
+    while {name, f"{name}_of"} & taken:
         name = f"_{name}"
     own = spans.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias(name)).withColumnRenamed("id", f"{name}_of")
     return docs.join(own, key(docs, id_col) == own[f"{name}_of"], "left").drop(f"{name}_of"), name

@@ -44,7 +44,7 @@ GROUP_BYTES = 1 << 19
 _REACH = MATCH - GRAM + 1  # grams in a string
 
 
-def _sliding(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
+def sliding(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
     """least(values[i : i + width]) for each i where that lies inside."""
     have = 1
     while 2 * have <= width:
@@ -61,14 +61,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     sums = prefix_hashes(data)
     at = np.arange(len(data) - GRAM + 1)
     gram = slice_hashes(sums, at, at + GRAM)
-    least = _sliding(gram, _REACH, np.minimum)  # for each string
+    least = sliding(gram, _REACH, np.minimum)  # for each string
     inside = np.zeros(len(least) + 1, np.int64)
     long = np.diff(offsets) >= MATCH
     np.add.at(inside, offsets[:-1][long], 1)
     np.add.at(inside, (offsets[1:] - MATCH + 1)[long], -1)
     least = np.where(np.cumsum(inside[:-1]) > 0, least, 0)
     pad = np.zeros(_REACH - 1, np.uint64)
-    most = _sliding(np.concatenate([pad, least, pad]), _REACH, np.maximum)  # over the strings that hold a gram
+    most = sliding(np.concatenate([pad, least, pad]), _REACH, np.maximum)  # over the strings that hold a gram
     p = np.flatnonzero((most == gram) & (most > 0))
     text = np.searchsorted(offsets, p, "right") - 1
     left, right = np.maximum(offsets[text], p + GRAM - MATCH), np.minimum(offsets[text + 1], p + MATCH)

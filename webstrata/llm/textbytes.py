@@ -35,14 +35,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-PORTION_ROWS = 512
+PORTION_ROWS, PORTION_BYTES = 512, 16 << 20
 
 
-def portions(batches: Iterator[pa.RecordBatch], rows: int = PORTION_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of few rows, so that what is made of them is small as well."""
+def portions(batches: Iterator[pa.RecordBatch], rows: int = PORTION_ROWS, size: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows and bytes, so that what is made of them is small as well; a larger
+    row forms a slice of its own."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        parts = [batch.slice(k, rows) for k in range(0, batch.num_rows, rows)][::-1]
+        while parts:
+            part = parts.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                parts += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
