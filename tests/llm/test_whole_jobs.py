@@ -66,23 +66,31 @@ def labelled_urls():
 def test_suffixes_are_counted_over_all_labelled_urls(spark, monkeypatch):
     rows = labelled_urls()
     labelled = spark.createDataFrame(rows, "url string, label double").repartition(3)
-    n, bad = Counter(), Counter()
-    for url, label in {r for r in rows if r[0] and r[1] in (0, 1)}:
-        suffix = ".".join(url.split("/")[2].split(".")[-2:])
-        n[suffix] += 1
-        bad[suffix] += label
-    expected = {(k, n[k], round((bad[k] + 1) / (n[k] + 2), 9)) for k in n}
     verdicts = []
     for limit in (url_filter.BROADCAST_ROWS, 1):
         monkeypatch.setattr(url_filter, "BROADCAST_ROWS", limit)
         model = url_filter.fit(labelled, limit=40)
-        assert {(r.suffix, r.suffix_n, round(r.suffix_bad, 9)) for r in model.suffixes.collect()} == expected
+        for k, table in zip(url_filter.LEVELS, model.suffixes):
+            n, bad = Counter(), Counter()
+            for url, label in {r for r in rows if r[0] and r[1] in (0, 1)}:
+                n[".".join(url.split("/")[2].split(".")[-k:])] += 1
+                bad[".".join(url.split("/")[2].split(".")[-k:])] += label
+            assert {(r.suffix, r.n, r.bad) for r in table.collect()} == {(x, n[x], bad[x]) for x in n}
         scored = url_filter.scored(labelled.select("url"), model)
-        verdicts.append(sorted((r.url, r.suffix_n, r.margin) for r in scored.collect()))
+        verdicts.append(sorted((r.url or "", r.n2 or 0, r.margin) for r in scored.collect()))
         assert len(verdicts[-1]) == len(rows)
     assert verdicts[0] == verdicts[1]
 
 
+def test_suffix_counts_of_a_sample_leave_its_fold_out(spark):
+    rows = labelled_urls()
+    known = url_filter._prepared(spark.createDataFrame(sorted({r for r in rows if r[0] and r[1] in (0, 1)}), "url string, label double")).withColumn("f", url_filter._fold())
+    every = known.collect()
+    for r in url_filter._out_of_fold(known.drop("f"), known).collect():
+        others = [x for x in every if x.suffix2 == r.suffix2 and x.f != r.fold]
+        assert (r.n2 or 0, r.bad2 or 0) == (len(others), sum(x.label for x in others))
+
+
 @pytest.mark.parametrize("n", [199_000, 201_000, 1_000_000])
 def test_attributes_of_any_length(n):
     good = "<p>Good text for the reader of this and that, which is a good block of the page.</p>"
