@@ -54,6 +54,20 @@ def test_prefix_targets(spark):
     assert texts[1, 2].text[texts[1, 2].loss_start : texts[1, 2].loss_end] == "b"
 
 
+def test_long_conversations(spark):
+    """A conversation of 600 turns and one of a text over 1 MB, in one piece each."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} é<|end|>") for i in range(600)] + [(2, 0, "user", "x" * 1_200_000), (2, 1, "assistant", "<|\\" * 400_000)]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest(turns(spark, rows)).collect()}
+    assert got == brute_chat(rows)
+
+
+def test_wrong_contexts_are_noticed(spark, monkeypatch):
+    real = chat.conversations
+    monkeypatch.setattr(chat, "conversations", lambda t: real(t).withColumn("formatted", F.concat(F.lit("x"), "formatted")))
+    with pytest.raises(Exception, match="prefix of its conversation"):
+        chat.digest(turns(spark)).collect()
+
+
 def test_chat_is_native(spark):
     plan = chat.digest(turns(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -157,10 +171,14 @@ def folder(spark):
     path = shared.folder(spark)
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3).withColumn("page", F.lit("clash"))
     warc.write_archives(pages, path, shard_bytes=4000)
-    warc.build_index(spark, path, 20)
+    warc.build_index(spark, path, 20, 900)
     return path
 
 
+def urls_of(spark, pages=PAGES):
+    return spark.createDataFrame([(p[1],) for p in pages], "url string")
+
+
 def test_archives_read_back(spark, folder):
     low = lambda p: (p is not None, p or 0)
     top = {}
@@ -169,10 +187,30 @@ def test_archives_read_back(spark, folder):
     expected = sorted(
         ((p, len((h or "").encode()), digest(h), *(("response", None) if low(p) == top[h or ""] else ("revisit", top[h or ""][1]))) for p, _, h in PAGES), key=str
     )
-    rows = warc.read_back(spark, folder).drop("url_key").collect()
+    rows = warc.read_back(spark, folder, urls_of(spark)).drop("url_key").collect()
     assert sorted(map(tuple, rows), key=str) == expected
 
 
+def test_lookups_of_many_keys(spark, folder, monkeypatch):
+    """Only what is asked for, through either first level; more than one index file in a partition."""
+    every = sorted(map(tuple, warc.index_lines(spark, folder).collect()))
+    assert warc._read(spark, f"{folder}/index").count() == spark.read.parquet(f"{folder}/directory").select("path").distinct().count() > 2
+    wanted = [PAGES[3], PAGES[77], PAGES[120], (0, "http://nowhere.example/", "")]
+    keys = {warc.url_key(u and warc._target(u)) for _, u, _ in wanted}
+    for limit in (200_000, 1):
+        monkeypatch.setattr(warc, "DIRECTORY_ROWS", limit)
+        got = warc.lookup(spark, folder, warc.requests(urls_of(spark, wanted + wanted)))
+        assert sorted(map(tuple, got.collect())) == [x for x in every if x[0] in keys]
+        assert warc.lookup(spark, folder, warc.requests(urls_of(spark, []))).collect() == []
+    pages = [(i, "http://one.url/", f"text {i}") for i in range(300)] + [(1000, "http://two.url/", "x")]
+    path = shared.folder(spark)
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), path)
+    monkeypatch.setattr(warc, "DIRECTORY_ROWS", 200_000)
+    warc.build_index(spark, path, 10, 100)
+    assert warc.read_back(spark, path, urls_of(spark, pages)).count() == 301
+    assert warc.read_back(spark, path, urls_of(spark, pages[-1:])).count() == 1
+
+
 def test_lookups_equal_brute_force(spark, folder):
     index = warc.Index(spark, folder)
     assert len(index.rows) > 3
@@ -209,7 +247,7 @@ def test_empty_archives(spark):
     path = shared.folder(spark)
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     warc.build_index(spark, path)
-    assert warc.read_back(spark, path).collect() == []
+    assert warc.read_back(spark, path, urls_of(spark)).collect() == []
 
 
 def test_url_keys():

@@ -8,10 +8,11 @@ context, and only its own text is trainable. A turn is written as the block
 Inside roles and texts a backslash is written twice and `<|` as `<\\|`, so no text
 can contain a control string, and a backslash always protects the next character.
 
-The examples of a conversation share its prefixes. An example therefore carries
-its own target block and the number of characters of the conversation that are its
-context: the rows grow with the turns, not with their square, however long a
-conversation is. `full_text` joins context and target where a writer wants strings.
+The examples of a conversation share its prefixes. Until they are exploded an example
+carries its own target block and the number of characters of the conversation that are its
+context, so what is shuffled grows with the turns and not with their square. `full_text`
+explodes them into whole strings; it and `digest`, which reads each of them back, write a
+string for each example within one task, without a shuffle or sort of them.
 """
 
 from __future__ import annotations
@@ -82,41 +83,50 @@ def conversations(turns: DataFrame) -> DataFrame:
     )
 
 
+def _expanded(turns: DataFrame) -> DataFrame:
+    """One row per example: conv_id, formatted, n (from 0), x (the example) and its whole text. Conversations
+    without an assistant have one row, with null n, x and text."""
+    rows = conversations(turns).select("conv_id", "formatted", F.posexplode_outer("examples").alias("n", "x"))
+    return rows.withColumn("text", F.concat(F.col("formatted").substr(F.lit(1), F.col("x.context_chars").cast("int")), F.col("x.target")))
+
+
 def full_text(turns: DataFrame) -> DataFrame:
     """`examples` with the whole text of each: conv_id, example, text, loss_start, loss_end.
 
-    The output grows with the square of a conversation's length, as the format asks."""
-    return conversations(turns).select("conv_id", "formatted", F.posexplode("examples").alias("n", "x")).select(
-        "conv_id", (F.col("n") + 1).cast("long").alias("example"),
-        F.concat(F.col("formatted").substr(F.lit(1), F.col("x.context_chars").cast("int")), F.col("x.target")).alias("text"),
-        "x.loss_start", "x.loss_end",
-    )
+    The output grows with the square of a conversation's length, as the format asks. See `blocks`
+    for nulls, ties and repeated rows; empty texts are turns like others, an empty table gives no rows."""
+    return _expanded(turns).where("n is not null").select("conv_id", (F.col("n") + 1).cast("long").alias("example"), "text", "x.loss_start", "x.loss_end")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse the output of `conversations`: conv_id, turns (array of role, text, both
-    unescaped) and replies (what is under the loss masks, unescaped, in order)."""
+def read_back(turns: DataFrame) -> DataFrame:
+    """Format, expand and parse again: conv_id, formatted_chars, turns (array of role, text, both unescaped,
+    from the formatted conversation) and replies (what is under the loss mask of each exploded
+    example, unescaped, in order). An example that isn't a prefix of its conversation is an error.
+
+    Null and empty texts come back empty; see `blocks` for ties and repeated rows. A conversation
+    and each of its examples must fit in a string (2 GB)."""
+    masked = F.substr("text", (F.col("x.loss_start") + 1).cast("int"), (F.col("x.loss_end") - F.col("x.loss_start")).cast("int"))
+    reply = F.when(F.startswith("formatted", "text"), unescaped(masked)).otherwise(F.raise_error(F.lit("an example isn't a prefix of its conversation")).cast("string"))
+    # only the first row of a conversation carries it on
+    rows = _expanded(turns).select("conv_id", F.when(F.coalesce("n", F.lit(0)) == 0, F.col("formatted")).alias("formatted"), F.when(F.col("n").isNotNull(), F.struct("n", reply.alias("reply"))).alias("r"))
+    found = rows.groupBy("conv_id").agg(F.max("formatted").alias("formatted"), F.array_sort(F.collect_list("r")).alias("r"))
     written = F.filter(F.split("formatted", r"<\|end\|>\n"), lambda x: x != "")
-    turns = F.transform(
+    said = F.transform(
         written,
         lambda x: F.struct(
             unescaped(F.substring_index(F.substr(x, F.lit(len(TURN) + 1)), TEXT, 1)).alias("role"),
             unescaped(F.substring_index(x, TEXT, -1)).alias("text"),
         ),
     )
-    replies = F.transform(
-        "examples",
-        lambda x: unescaped(F.substr(x["target"], (x["loss_start"] - x["context_chars"] + 1).cast("int"), (x["loss_end"] - x["loss_start"]).cast("int"))),
-    )
-    return formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), turns.alias("turns"), replies.alias("replies"))
+    return found.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), said.alias("turns"), F.col("r.reply").alias("replies"))
 
 
 def digest(turns: DataFrame) -> DataFrame:
-    """Per conversation, read back from the formatted output: conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars (the conversation written once), n_examples."""
+    """Per conversation, read back from the expanded output: conv_id, n_turns, turns_sha256,
+    loss_chars, loss_sha256, formatted_chars (the conversation written once), n_examples. See `read_back`."""
     lines = F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
     loss = F.concat_ws("", "replies")
-    return read_back(conversations(turns)).select(
+    return read_back(turns).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
         F.size("replies").cast("long").alias("n_examples"),

@@ -64,10 +64,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared.folder(spark)
-    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    folder, pages = shared.folder(spark), _table(spark, sf_dir, "pages")
+    warc.write_archives(pages, folder)
     warc.build_index(spark, folder)
-    return warc.read_back(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_back(spark, folder, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -32,6 +32,7 @@ from webstrata.llm.shared import forget, small_batches, written
 from webstrata.llm.textbytes import NULL_ID
 
 SHARD_BYTES = 64 << 20
+INDEX_SHARD_BYTES = 4 << 20
 BLOCK_LINES = 1000
 MIN_SHARED_BYTES = 0
 BROADCAST_ROWS = 1_000_000
@@ -182,8 +183,11 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, f"{folder}/archives").mapInArrow(run, "key string, page long, path string, offset long, length long")
 
 
-def build_index(spark: SparkSession, folder: str, block_lines: int = BLOCK_LINES) -> None:
-    """Write index/ and directory/ for archives/."""
+def build_index(spark: SparkSession, folder: str, block_lines: int = BLOCK_LINES, shard_bytes: int = INDEX_SHARD_BYTES) -> None:
+    """Write index/ and directory/ for archives/. Index files end after the block with which they reach shard_bytes.
+
+    Captures without a url have the key `)`; repeated rows have a line each; captures of one key are
+    ordered by page and may fill many blocks and files; empty archives give an empty directory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body, footer, lines, at = [], [], [], 0
@@ -196,16 +200,25 @@ def build_index(spark: SparkSession, folder: str, block_lines: int = BLOCK_LINES
             at += len(block)
             lines.clear()
 
+        def shard() -> pa.RecordBatch:
+            nonlocal at
+            end = zlib.compress(json.dumps(footer).encode())
+            out = pa.array([b"".join([*body, end, len(end).to_bytes(8, "big")])], pa.binary())
+            body.clear(), footer.clear()
+            at = 0
+            return pa.RecordBatch.from_arrays([out], ["body"])
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 lines.append(row)
                 if len(lines) >= block_lines:
                     close()
+                    if at >= shard_bytes:
+                        yield shard()
         if lines:
             close()
         if body:
-            end = zlib.compress(json.dumps(footer).encode())
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join([*body, end, len(end).to_bytes(8, "big")])], pa.binary())], ["body"])
+            yield shard()
 
     rows = captures(spark, folder)
     _write(rows.repartitionByRange("key", "page").sortWithinPartitions("key", "page", "path", "offset").mapInArrow(run, "body binary"), f"{folder}/index")
@@ -290,6 +303,59 @@ def index_lines(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, f"{folder}/index").mapInArrow(run, "key string, page long, path string, offset long, length long")
 
 
+def requests(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """(key): the distinct index keys of urls; null urls have one too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(None if u is None else _target(u)) for u in batch.column(0).to_pylist()], pa.string())], ["key"])
+
+    return urls.select(F.col(url_col).cast("string").alias("url")).mapInArrow(run, "key string").distinct()
+
+
+def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+    """The capture lines of many distinct keys: key, page, path, offset, length.
+
+    The index files that can hold a key are found by bisection in the first level, the files' first and
+    last keys; a key with very many captures has several. Each file with wanted keys is read once; in it, blocks
+    are found by bisection in its directory, and lines by bisection in the blocks, of which only
+    those with wanted keys are decompressed. If more than DIRECTORY_ROWS files make the first level
+    too large to send, the keys are joined with all lines."""
+    files = spark.read.parquet(f"{folder}/directory").groupBy("path").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
+    found = sorted((r.low, r.high, r.path) for r in files.limit(DIRECTORY_ROWS + 1).collect())
+    if len(found) > DIRECTORY_ROWS:
+        return index_lines(spark, folder).join(keys, "key", "left_semi")
+    first = spark.sparkContext.broadcast(found)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = first.value
+        for batch in batches:
+            out = []
+            for key in batch.column(0).to_pylist():
+                at = bisect.bisect_right(rows, key, key=lambda r: r[0]) - 1
+                while at >= 0 and rows[at][1] >= key:
+                    out.append((rows[at][2], key))
+                    at -= 1
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], ["path", "key"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                content, wanted = batch.column(0)[k].as_py(), sorted(batch.column(1)[k].as_py())
+                for low, high, at, size, _ in _footer(content):
+                    own = wanted[bisect.bisect_left(wanted, low) : bisect.bisect_right(wanted, high)]
+                    if not own:
+                        continue
+                    lines, out = _lines(content[at : at + size]), []
+                    for key in own:
+                        out += lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["key", "page", "path", "offset", "length"])
+
+    own = keys.mapInArrow(choose, "path string, key string").groupBy("path").agg(F.collect_list("key").alias("keys"))  # no more than a file has lines, and those between two of them
+    return _read(spark, f"{folder}/index").join(own, "path").select("content", "keys").mapInArrow(search, "key string, page long, path string, offset long, length long")
+
+
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """What each record of the archives holds: path, offset, length, page, payload_bytes,
     payload_digest, record_type, refers_to. Payloads don't leave the task that reads them.
@@ -320,9 +386,12 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, f"{folder}/archives").mapInArrow(run, "path string, offset long, length long, page long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per capture of the index, with the record that stands at its range of the archive:
-    page_id, payload_bytes, payload_digest, record_type, refers_to, url_key. See `records`."""
+def read_back(spark: SparkSession, folder: str, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """One row per capture of the urls, found through the index, with the record that stands at its range
+    of the archive: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key.
+
+    Repeated urls are looked up once; urls without a capture give no row; null urls find the records
+    without target. See `lookup` and `records`."""
     shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias("page_id" if c == "page" else c)
-    found = index_lines(spark, folder).join(records(spark, folder), ["path", "offset", "length", "page"])
+    found = lookup(spark, folder, requests(urls, url_col)).join(records(spark, folder), ["path", "offset", "length", "page"])
     return found.select(shown("page"), "payload_bytes", "payload_digest", "record_type", shown("refers_to"), F.col("key").alias("url_key"))
