@@ -158,3 +158,32 @@ def test_jobs(spark):
     files = spark.createDataFrame([("/j/a/20240101000000/warcs/x.warc.gz", datetime(2024, 1, 1)), ("/j/b/20240102000000/logs/x.log", datetime(2024, 1, 2))], "path string, modified timestamp").withColumn("size", F.lit(1))
     assert [r.job for r in tables.jobs(files).collect()] == ["b", "a"]
     assert [(r.job, r.launch) for r in tables.job_files(files).collect()] == [("a", "20240101000000")]
+
+
+def test_equal_base_names(spark):
+    """Two files of one name in two folders are two files: for documents, requests and statistics."""
+    from webstrata.operators import extract as X
+
+    def record(kind, ident, block, more=""):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://x.y/{ident}\r\nWARC-Record-ID: <urn:r:1{kind}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\n{more}Content-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    page = lambda n: record("response", n, f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<title>t{n}</title>".encode())
+    post = record("request", "b", b"POST /b HTTP/1.1\r\n\r\nq=1", "WARC-Concurrent-To: <urn:r:1response>\r\n")
+    files = spark.createDataFrame([("/a/x.warc.gz", gzip.compress(page("a"))), ("/b/x.warc.gz", gzip.compress(page("b")) + gzip.compress(post))], "path string, content binary")
+    records = archive.parsed(files)
+    found = X.documents(records)
+    assert sorted((r.path, r.title) for r in found.collect()) == [("/a/x.warc.gz", "ta"), ("/b/x.warc.gz", "tb")]
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") > 0
+    assert sorted((r.path, r.records) for r in I.statistics(records, I.captures(records)).collect()) == [("/a/x.warc.gz", 1), ("/b/x.warc.gz", 1)]
+    assert sorted((r.path, r.number, r.request_method, r.request_body) for r in records.collect()) == [("/a/x.warc.gz", 0, None, None), ("/b/x.warc.gz", 0, "POST", "q=1"), ("/b/x.warc.gz", 1, None, None)]
+
+
+def test_plain_archives_take_linear_time():
+    import time
+
+    one = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 1000\r\n\r\n" + b"x" * 1000 + b"\r\n\r\n"
+    begin = time.process_time()
+    assert sum(1 for _ in archive.parse("/a/b.warc", one * 30_000 + b"\0" * 100_000)) == 30_000
+    assert time.process_time() - begin < 10

@@ -94,8 +94,12 @@ class Catalogue:
         return R.crawl_rollup(self.crawl, self.warc), R.series_rollup(self.crawl_series, self.crawl, self.warc)
 
     def _with_file_ids(self, rows: DataFrame) -> DataFrame:
-        """Rows (filename, ...) with the catalogue's file ids; files that it doesn't know are left out."""
-        return rows.join(self.warc.select(F.col("id").alias("warc_id"), "filename"), "filename")
+        """Rows (path, filename, ...) with the catalogue's file ids. Where it knows several files of a name, the
+        one counts whose path the row's ends with. Files that it doesn't know are left out."""
+        n = self.warc.groupBy("filename").agg(F.count("*").alias("files"))
+        known = self.warc.join(n, "filename").select(F.col("id").alias("warc_id"), F.col("filename").alias("name"), F.col("path").alias("place"), "files")
+        own = (F.col("filename") == F.col("name")) & ((F.col("files") == 1) | F.coalesce(F.endswith("path", "place"), F.lit(False)))
+        return rows.join(known, own).drop("name", "place", "files", "path")
 
     def build_index(self, path: str, target: str) -> None:
         """Index lines of all archives below a path, by file."""

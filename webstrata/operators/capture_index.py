@@ -6,7 +6,7 @@ Input rows are those of `webstrata.sources.archive`. A capture line has eleven f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions import binary as B
@@ -18,9 +18,10 @@ from webstrata.functions import urls as U
 DATE_FLOOR = "1990-01-01 00:00:00"
 
 
-def indexable(floor: str = DATE_FLOOR) -> Column:
-    """Is a record (type, has_payload, date, incomplete) indexed?"""
-    return F.coalesce(F.col("type").isin("response", "resource") & F.col("has_payload") & (F.col("date") >= F.lit(floor).cast("timestamp_ntz")) & ~F.col("incomplete"), F.lit(False))
+def indexable(floor: str = DATE_FLOOR, date: str = "date") -> Column:
+    """Is a record (type, has_payload, date, incomplete) indexed? Unknown dates aren't; unknown completeness doesn't count."""
+    whole = ~F.coalesce(F.col("incomplete"), F.lit(False))
+    return F.coalesce(F.col("type").isin("response", "resource") & F.col("has_payload") & (F.col(date) >= F.lit(floor).cast("timestamp_ntz")) & whole, F.lit(False))
 
 
 def record_kind(type: Column, url: Column) -> Column:
@@ -30,33 +31,15 @@ def record_kind(type: Column, url: Column) -> Column:
     return F.when((type.isNull() | (type == "response")) & web, "response").when(type == "resource", "resource").when(type == "metadata", "metadata")
 
 
-def with_requests(records: DataFrame) -> DataFrame:
-    """Each record with request_method and request_body of the first request among the records right
-    after it that are concurrent to it; the run ends at the first record that isn't."""
-    w = Window.partitionBy("filename").orderBy("position", "record_id")
-    capture = ~F.coalesce(F.col("type").isin("request", "metadata"), F.lit(False))
-    owner = F.last(F.when(capture, F.col("record_id")), ignorenulls=True).over(w)
-    rows = records.withColumn("_owner", owner).withColumn("_n", F.row_number().over(w))
-    rows = rows.withColumn("_linked", F.array_contains("concurrent_to", F.col("_owner")))
-    run = Window.partitionBy("filename", "_owner").orderBy("_n")
-    broken = F.max((~capture & ~F.col("_linked")).cast("int")).over(run.rowsBetween(Window.unboundedPreceding, 0))
-    method = F.regexp_extract(F.decode("payload", "ISO-8859-1"), r"^([A-Z]+) ", 1)
-    requests = rows.withColumn("_broken", broken).where((F.col("type") == "request") & F.col("_linked") & (F.col("_broken") == 0)).select(
-        "filename", F.col("_owner").alias("record_id"), F.struct("_n", method.alias("method"), F.regexp_extract(F.decode("payload", "ISO-8859-1"), r"(?s)\r?\n\r?\n(.*)$", 1).alias("body")).alias("q")
-    )
-    first = requests.where(F.col("q.method").isin("POST", "PUT")).groupBy("filename", "record_id").agg(F.min("q").alias("q"))
-    return records.join(first, ["filename", "record_id"], "left").select(*records.columns, F.col("q.method").alias("request_method"), F.col("q.body").alias("request_body"))
-
-
 def captures(records: DataFrame) -> DataFrame:
-    """The indexed captures: filename, position, length, urlkey, date, url, mime, status, digest, redirect, captured."""
-    r = with_requests(records)
+    """The indexed captures: path, filename, position, length, urlkey, date, url, mime, status, digest, redirect, captured."""
+    r = records
     head = T.headers(F.col("http_header"))
     arc = F.when(F.col("date").rlike(r"^\d+$"), D.repair(F.col("date"))).otherwise(D.to_arc_date(F.col("date")))
     kind = record_kind(F.col("type"), F.col("url"))
     body_only = F.col("http_header").rlike(r"^HTTP/[^\r\n]*$") & (F.length("payload") == 0)
     r = r.where(F.col("url").isNotNull() & kind.isin("response", "resource")).select(
-        "filename", "position", "length", "url", arc.alias("date"), kind.alias("type"), "request_method", "request_body",
+        "path", "filename", "position", "length", "url", arc.alias("date"), kind.alias("type"), "request_method", "request_body",
         F.col("payload").isNotNull().alias("has_payload"),
         (body_only & F.map_contains_key("headers", "warc-json-metadata") & F.map_contains_key("headers", "warc-page-id")).alias("incomplete"),
         F.when(kind == "response", T.status_code(F.substring_index("http_header", "\n", 1))).otherwise(200).alias("status"),
@@ -64,20 +47,16 @@ def captures(records: DataFrame) -> DataFrame:
         F.coalesce(B.digest_of_header(F.col("digest")), B.sha1_base32(F.col("payload"))).alias("digest"), F.try_element_at(head, F.lit("location")).alias("location"),
     )
     r = r.withColumn("captured", D.parse_arc_date(F.col("date")).cast("timestamp_ntz"))
-    r = r.where(indexable_captured())
+    r = r.where(indexable(date="captured"))
     key = F.when(F.col("request_method").isNotNull(), U.request_key(F.col("url"), F.col("request_method"), F.col("request_body"))).otherwise(U.surt(F.col("url")))
     redirect = F.when(F.col("status").between(300, 399) & F.col("location").isNotNull(), U.resolve(F.col("url"), F.col("location")))
-    return r.select("filename", "position", "length", key.alias("urlkey"), "date", "url", "mime", "status", "digest", redirect.alias("redirect"), "captured")
-
-
-def indexable_captured() -> Column:
-    return F.col("has_payload") & ~F.coalesce(F.col("incomplete"), F.lit(False)) & (F.col("captured") >= F.lit(DATE_FLOOR).cast("timestamp_ntz"))
+    return r.select("path", "filename", "position", "length", key.alias("urlkey"), "date", "url", "mime", "status", "digest", redirect.alias("redirect"), "captured")
 
 
 def lines(captures: DataFrame) -> DataFrame:
-    """(filename, line) of captures."""
+    """(path, filename, line) of captures."""
     fields = ["urlkey", "date", "url", T.index_escape(F.col("mime")), F.col("status").cast("string"), "digest", F.coalesce(T.index_escape(F.col("redirect")), F.lit("-")), F.lit("-"), F.col("length").cast("string"), F.col("position").cast("string"), "filename"]
-    return captures.select("filename", F.concat_ws(" ", *(F.coalesce(F.col(f) if isinstance(f, str) else f, F.lit("-")) for f in fields)).alias("line"))
+    return captures.select("path", "filename", F.concat_ws(" ", *(F.coalesce(F.col(f) if isinstance(f, str) else f, F.lit("-")) for f in fields)).alias("line"))
 
 
 def alias_lines(aliases: DataFrame) -> DataFrame:
@@ -86,9 +65,8 @@ def alias_lines(aliases: DataFrame) -> DataFrame:
 
 
 def statistics(records: DataFrame, found: DataFrame) -> DataFrame:
-    """(filename, records, record_bytes, start_time, end_time, software) of files, from their records and captures."""
-    own = found.groupBy("filename").agg(F.count("*").alias("records"), F.sum("length").alias("record_bytes"), F.min("captured").alias("start_time"), F.max("captured").alias("end_time"))
-    software = records.where("software is not null").groupBy("filename").agg(F.max_by("software", "position").alias("software"))
-    names = records.select("filename").distinct()
+    """(path, filename, records, record_bytes, start_time, end_time, software) of files, from their records and captures."""
+    own = found.groupBy("path").agg(F.count("*").alias("records"), F.sum("length").alias("record_bytes"), F.min("captured").alias("start_time"), F.max("captured").alias("end_time"))
+    files = records.groupBy("path", "filename").agg(F.max_by("software", F.when(F.col("software").isNotNull(), F.col("number"))).alias("software"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return names.join(own, "filename", "left").join(software, "filename", "left").select("filename", zero("records"), zero("record_bytes"), "start_time", "end_time", "software")
+    return files.join(own, "path", "left").select("path", "filename", zero("records"), zero("record_bytes"), "start_time", "end_time", "software")

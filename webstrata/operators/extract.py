@@ -125,8 +125,8 @@ _LINK = "array<struct<type:string,href:string,text:string,rel:string,title:strin
 _LINK_ARROW = pa.list_(pa.struct([(k, pa.string()) for k in ("type", "href", "text", "rel", "title", "url")]))
 
 
-def html_parts(pages: DataFrame) -> DataFrame:
-    """Per row of pages (id, url, html): id, raw_text, raw_title, meta, h1, links, failed. Null html gives nulls."""
+def html_parts(pages: DataFrame, *carried: str) -> DataFrame:
+    """Per row of pages (id, url, html): id, the carried columns, raw_text, raw_title, meta, h1, links, failed. Null html gives nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,47 +141,52 @@ def html_parts(pages: DataFrame) -> DataFrame:
                 except (AssertionError, ValueError, RecursionError):  # what the parser raises on broken markup
                     rows.append((None, None, None, None, None, True))
             types = [pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), _LINK_ARROW, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["id", "raw_text", "raw_title", "meta", "h1", "links", "failed"])
+            kept = [batch.column(k + 3) for k in range(len(carried))]
+            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kept, *made], ["id", *carried, "raw_text", "raw_title", "meta", "h1", "links", "failed"])
 
-    return pages.select(F.col("id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(
-        run, f"id long, raw_text string, raw_title string, meta map<string,string>, h1 array<string>, links {_LINK}, failed boolean"
-    )
+    rows = pages.select(F.col("id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), *carried)
+    own = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in carried)
+    return rows.mapInArrow(run, f"id long, {own}raw_text string, raw_title string, meta map<string,string>, h1 array<string>, links {_LINK}, failed boolean")
 
 
-def page_documents(pages: DataFrame) -> DataFrame:
-    """Per row of pages (id, url, html): id, title, text, the meta properties, h1 and links, cleaned."""
+def page_documents(pages: DataFrame, *carried: str, limit: int | None = TEXT_LIMIT) -> DataFrame:
+    """Per row of pages (id, url, html): id, the carried columns, title, text (of at most `limit` characters;
+    None for whole texts), the meta properties, h1 and links, cleaned."""
     clean = F.transform("links", lambda x: x.withField("url", U.clean_url(x["url"])))
-    return html_parts(pages).select(
-        "id", T.collapse_space(F.col("raw_title")).alias("title"), F.substring(T.collapse_space(F.substring("raw_text", 1, TEXT_LIMIT)), 1, TEXT_LIMIT).alias("text"),
+    capped = lambda c: c if limit is None else F.substring(c, 1, limit)
+    return html_parts(pages, *carried).select(
+        "id", *carried, T.collapse_space(F.col("raw_title")).alias("title"), capped(T.collapse_space(capped(F.col("raw_text")))).alias("text"),
         F.when(F.col("failed"), "can't be parsed").alias("text_error"), *(T.property_of(F.col("meta"), name).alias(name) for name in T.META_NAMES),
         F.filter(F.transform("h1", T.heading_text), lambda h: h != "").alias("h1"), clean.alias("links"),
     )
 
 
-def documents(records: DataFrame, archive_prefix: str = "http://archive.example/pan/") -> DataFrame:
-    """Documents of the records of archives (see `webstrata.sources.archive`)."""
+def documents(records: DataFrame, archive_prefix: str = "http://archive.example/pan/", limit: int | None = TEXT_LIMIT) -> DataFrame:
+    """Documents of the records of archives (see `webstrata.sources.archive`): one for each record, read
+    and parsed in one pass, without a join."""
     kind = record_kind(F.col("type"), F.col("url"))
     head = T.headers(F.col("http_header"))
     mime = T.content_type(F.when(F.col("http_header").isNotNull(), F.try_element_at(head, F.lit("content-type"))).otherwise(F.col("content_type")))
     r = records.where(F.col("url").isNotNull() & kind.isNotNull() & ~((kind == "response") & F.col("http_header").isNull() & F.col("content_type").contains("application/http")))
     r = r.select(
-        "filename", "position", kind.alias("kind"), F.col("url").alias("delivery_url"), U.clean_url(U.original_url(F.col("url"), archive_prefix)).alias("url"),
+        "path", "filename", "position", "number", kind.alias("kind"), F.col("url").alias("delivery_url"), U.clean_url(U.original_url(F.col("url"), archive_prefix)).alias("url"),
         F.when(F.col("date").rlike(r"^\d+$"), D.repair(F.col("date"))).otherwise(D.to_arc_date(F.col("date"))).alias("date"), mime.alias("content_type"),
         F.when(kind == "response", T.status_code(F.substring_index("http_header", "\n", 1))).alias("status_code"), F.length("payload").cast("long").alias("content_length"),
         F.coalesce(B.digest_of_header(F.col("digest")), B.sha1_base32(F.col("payload"))).alias("content_sha1"), F.try_element_at(head, F.lit("location")).alias("location"), "payload",
         T.is_brotli(F.try_element_at(head, F.lit("content-encoding"))).alias("brotli"),
     )
-    r = r.withColumn("id", F.xxhash64("filename", "position"))
     html = F.when((F.col("content_type") == "text/html") & ~F.col("brotli"), F.make_valid_utf8(F.col("payload").cast("string")))
-    parts = page_documents(r.select("id", "url", html.alias("html")))
+    carried = [c for c in r.columns if c not in ("payload", "number")]
+    parts = page_documents(r.select(F.col("number").alias("id"), "url", html.alias("html"), F.struct(*carried).alias("record")), "record", limit=limit)
     error = F.when(F.col("brotli"), "content-encoding br is not supported").when(F.col("content_type") == "text/html", F.col("text_error")).otherwise(
         F.coalesce(T.text_error(F.col("content_type")), F.lit("no extractor for content-type"))
     )
     target = U.resolve(F.col("url"), F.col("location"))
     redirect = F.array(F.struct(F.lit("location").alias("type"), F.col("location").alias("href"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("rel"), F.lit(None).cast("string").alias("title"), target.alias("url")))
     links = F.coalesce("links", F.array().cast(_LINK))
-    out = r.drop("payload").join(parts, "id")
+    out = parts.select("*", "record.*").drop("record")
     return out.select(
-        "filename", F.col("position").alias("warc_offset"), "url", "delivery_url", "date", "status_code", "content_length", "content_type", "title", "text", error.alias("text_error"), "content_sha1",
+        "path", "filename", F.col("position").alias("warc_offset"), "url", "delivery_url", "date", "status_code", "content_length", "content_type", "title", "text", error.alias("text_error"), "content_sha1",
         U.site(F.col("url")).alias("site"), U.host(F.col("url")).alias("host"), *T.META_NAMES, F.when(F.col("location").isNotNull(), F.concat(links, redirect)).otherwise(links).alias("links"), "h1",
     )

@@ -67,10 +67,10 @@ def index_deletion(v: Views) -> DataFrame:
     return sinks.remaining(lines.select("line"), lines.where("l_orderkey % 3 = 0").select("line"))
 
 
-@query("select doc_id, length(text) n, case when length(text) > 1000 then substr(text, 1, 1000) else text end = substr(text, 1, 1000) cut from documents")
+@query("select doc_id, length(text) n, strlen(text) n_bytes, length(text) - length(replace(text, chr(10), '')) + 1 n_lines from documents")
 def text_lengths(v: Views) -> DataFrame:
     t = F.col("text")
-    return v.table("documents").select("doc_id", F.length(t).cast("long").alias("n"), (F.when(F.length(t) > 1000, F.substring(t, 1, 1000)).otherwise(t) == F.substring(t, 1, 1000)).alias("cut"))
+    return v.table("documents").select("doc_id", F.length(t).cast("long").alias("n"), F.octet_length(t).cast("long").alias("n_bytes"), F.size(F.split(t, "\n", -1)).cast("long").alias("n_lines"))
 
 
 @query("select doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) digest from documents")

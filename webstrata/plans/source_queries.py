@@ -53,7 +53,7 @@ def archive_records(v: Views) -> DataFrame:
 
 @query()
 def cdx_lines(v: Views) -> DataFrame:
-    return I.lines(I.captures(archive.parsed(_files(v))))
+    return I.lines(I.captures(archive.parsed(_files(v)))).select("filename", "line")
 
 
 _SHA1 = "(select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast(concat('0x', substr(sha1(html), 5 * (i // 4) + 1, 5)) as bigint) >> (15 - 5 * (i % 4))) & 31 as int), 1), '' order by i) from range(32) r(i))"
@@ -72,7 +72,7 @@ def archive_statistics(v: Views) -> DataFrame:
 
 @query()
 def archive_documents(v: Views) -> DataFrame:
-    return X.documents(archive.parsed(_files(v))).withColumn("links", F.to_json("links")).withColumn("h1", F.to_json("h1"))
+    return X.documents(archive.parsed(_files(v))).drop("path").withColumn("links", F.to_json("links")).withColumn("h1", F.to_json("h1"))
 
 
 @query("select concat('part-', lpad(cast(page_id // 10 as varchar), 6, '0'), '.warc.gz') filename, true gzip, 2 as state from pages group by page_id // 10")
@@ -150,3 +150,4 @@ def cache_metadata(v: Views) -> DataFrame:
     p = F.col("page_id")
     value = F.when(p % 3 == 0, "{broken").otherwise(F.concat(F.lit('{"warcId":'), p.cast("string"), F.lit(',"size":1}')))
     return tables.cache_metadata(v.table("pages").select(p.cast("string").alias("path"), value.alias("value"))).select(F.col("path").cast("long").alias("page_id"), F.col("meta.warcId").alias("meta_id"))
+

@@ -71,10 +71,11 @@ def stream_hourly_changes(v: Views) -> DataFrame:
     return v.spark.read.parquet(f"{top}/out").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "warc_state_id", "n")
 
 
-@query("select warc_id, cast(max(case when not f and a - coalesce(lf, -4611686018427387904) >= 3600 then 1 else 0 end) = 1 as boolean) due from (select warc_id, id * 100 a, false f, cast(null as bigint) lf from warc_history) group by warc_id")
+@query("""select warc_id, bool_or(id % 3 <> 0 and id * 100 - coalesce(lf, -4611686018427387904) >= 3600) due
+    from (select *, max(case when id % 3 = 0 then id * 100 end) over (partition by warc_id) lf from warc_history) group by warc_id""")
 def stream_index_queue_retries(v: Views) -> DataFrame:
     top = _folder(v.spark)
-    rows = v.warc_history.select("warc_id", (F.col("id") * 100).alias("at"), F.lit(False).alias("failed"))
+    rows = v.warc_history.select("warc_id", (F.col("id") * 100).alias("at"), (F.col("id") % 3 == 0).alias("failed"))
     rows.repartition(2).write.parquet(f"{top}/in")
     feeds.run_once(feeds.retries(feeds.table_stream(v.spark, f"{top}/in", rows.schema)), feeds.append_once(f"{top}/out"), f"{top}/state", "update")
     return v.spark.read.parquet(f"{top}/out").select("warc_id", "due")

@@ -3,7 +3,9 @@
 `read_records` reads files with Spark's binaryFile source and parses them with
 mapInArrow, a file a task; `ArchiveDataSource` offers the same rows as
 `spark.read.format("archive")`. A record's position and length are those of its bytes in
-the file, of its gzip member where the file is compressed.
+the file, of its gzip member where the file is compressed. `path` identifies the file
+(base names repeat), and `number` counts its records. The request that belongs to a
+capture stands right after it, so it is found while parsing.
 """
 
 from __future__ import annotations
@@ -17,18 +19,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = """filename string, position long, length long, type string, record_id string, url string, date string, concurrent_to array<string>, software string,
-    content_type string, digest string, headers map<string,string>, http_header string, payload binary, truncated boolean"""
+    content_type string, digest string, headers map<string,string>, http_header string, payload binary, truncated boolean, path string, number long, request_method string, request_body string"""
 
-_NAMES = ["filename", "position", "length", "type", "record_id", "url", "date", "concurrent_to", "software", "content_type", "digest", "headers", "http_header", "payload", "truncated"]
+_NAMES = ["filename", "position", "length", "type", "record_id", "url", "date", "concurrent_to", "software", "content_type", "digest", "headers", "http_header", "payload", "truncated", "path", "number", "request_method", "request_body"]
 _ARROW = pa.schema(
     [
         ("filename", pa.string()), ("position", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("url", pa.string()), ("date", pa.string()),
         ("concurrent_to", pa.list_(pa.string())), ("software", pa.string()), ("content_type", pa.string()), ("digest", pa.string()), ("headers", pa.map_(pa.string(), pa.string())),
-        ("http_header", pa.string()), ("payload", pa.binary()), ("truncated", pa.bool_()),
+        ("http_header", pa.string()), ("payload", pa.binary()), ("truncated", pa.bool_()), ("path", pa.string()), ("number", pa.int64()), ("request_method", pa.string()), ("request_body", pa.string()),
     ]
 )
 
 _ARC_LINE = re.compile(rb"(\S+) (\S+) (\d{12,18}) (\S+)(?: .*?)? (\d+)\r?\n")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_PADDING = re.compile(rb"[\r\n\0]*")
+_REQUEST = re.compile(rb"([A-Z]+) ")
 ARCHIVE_GLOB = "*.{warc,warc.gz,warc.gz.open,warc.open,arc,arc.gz}"
 
 
@@ -73,8 +78,8 @@ def _split_http(block: bytes) -> tuple[str | None, bytes]:
 
 
 def _warc(text: bytes, at: int) -> tuple[dict, int] | None:
-    m = re.compile(rb"\r?\n\r?\n").search(text, at)
-    if not text.startswith(b"WARC/", at) or not m:
+    m = _HEAD_END.search(text, at) if text.startswith(b"WARC/", at) else None
+    if not m:
         return None
     fields = _fields(text[at : m.start()])
     headers: dict[str, str] = {}
@@ -113,29 +118,48 @@ def _arc(text: bytes, at: int) -> tuple[dict, int] | None:
     return row, end
 
 
-def parse(filename: str, content: bytes) -> Iterator[dict]:
-    """The records of a file, in order. A file that isn't an archive, or is damaged, gives the
-    records before the damage and then one of type `error` at its place."""
-    name = filename.rsplit("/", 1)[-1]
+def parse(path: str, content: bytes) -> Iterator[dict]:
+    """The records of a file, in order, in linear time. A file that isn't an archive, or is damaged, gives
+    the records before the damage and then one of type `error` at its place."""
+    for number, row in enumerate(_with_requests(_records(path.rsplit("/", 1)[-1], content))):
+        yield row | {"path": path, "number": number}
+
+
+def _with_requests(rows: Iterator[dict]) -> Iterator[dict]:
+    """Records with the method and body of the first POST or PUT request among the requests and metadata
+    right after them that are concurrent to them; the run ends at the first one that isn't."""
+    held: list[dict] = []  # a capture and what follows it up to the next one
+    linked = False
+    for row in rows:
+        row |= {"request_method": None, "request_body": None}
+        if row["type"] not in ("request", "metadata"):
+            yield from held
+            held, linked = [row], row["record_id"] is not None
+            continue
+        linked = linked and held[0]["record_id"] in row["concurrent_to"]
+        m = _REQUEST.match(row["payload"] or b"") if linked and row["type"] == "request" and held[0]["request_method"] is None else None
+        if m and m[1] in (b"POST", b"PUT"):
+            end = _HEAD_END.search(row["payload"])
+            held[0] |= {"request_method": m[1].decode(), "request_body": row["payload"][end.end() :].decode("latin-1") if end else ""}
+        held.append(row)
+    yield from held
+
+
+def _records(name: str, content: bytes) -> Iterator[dict]:
     seen = False
+    plain = content[:2] != b"\x1f\x8b"
     for position, length, text, cut in _members(content):
         if cut and not text.strip(b"\r\n\0"):
             yield _error(name, position, length)
             return
         at = 0
-        while at < len(text):
-            if not text[at:].strip(b"\r\n\0"):
-                break
+        while _PADDING.match(text, at).end() < len(text):
             found = _warc(text, at) or _arc(text, at)
             if not found:
-                yield _error(name, position + (at if length == len(text) else 0), length - (at if length == len(text) else 0))
+                yield _error(name, position + at if plain else position, length - at if plain else length)
                 return
             row, end = found
-            whole = at == 0 and end >= len(text)
-            plain = content[:2] != b"\x1f\x8b"
             row |= {"filename": name, "position": position + at if plain else position, "length": end - at if plain else length, "truncated": row["truncated"] or cut}
-            if not whole and not plain:
-                row["length"] = length
             yield row
             seen, at = True, end
     if not seen and content:
