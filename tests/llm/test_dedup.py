@@ -176,9 +176,10 @@ def component_ids(docs):
     return {d: (len(s), find(d)) for d, s in sets}
 
 
-@pytest.mark.parametrize("members, size", [(256, 4 << 20), (4, 4 << 20), (1, 1), (256, 60)])
-def test_minhash_equals_all_pairs(spark, members, size, monkeypatch):
+@pytest.mark.parametrize("members, size, hot", [(256, 4 << 20, 8), (4, 60, 8), (1, 1, 1)])
+def test_minhash_equals_all_pairs(spark, members, size, hot, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(minhash, "HOT_BLOCKS", hot)
     monkeypatch.setattr(minhash, "BLOCK_WORDS", size)
     docs = random_docs(220, seed=12) + ODD
     expected = component_ids(docs)
@@ -209,6 +210,7 @@ def template_docs(n=240, seed=3):
 def test_minhash_of_templates(spark, monkeypatch):
     """Large open buckets go by rare shingles: fewer pairs of sets meet, and no link is lost."""
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(minhash, "HOT_BLOCKS", 1)
     met = []
     real = minhash._by_rare_shingles
     monkeypatch.setattr(minhash, "_by_rare_shingles", lambda *a: met.append(1) or real(*a))

@@ -13,12 +13,12 @@ banded; documents that share a band are candidates.
    of one block of members with another in one matrix product, so that no task holds
    more than two blocks, whose members and bytes are bounded. Members of the component of
    the bucket's smallest member need not be compared with one another. Components follow again.
-4. Of buckets with more than one block of members outside that component, sets are not sent
-   to all blocks. Two sets can only be similar if they share one of the rarest shingles of
-   each: of n shingles, ordered by the number of such sets that hold them, the first
-   n - ceil(n * percent / 100) + 1. So these members are grouped again by those shingles (the ones
-   that no other set has can't be shared and form no group), and the groups go the way of 3.
-   Texts made from one template, which share a band but not their rare shingles, part here.
+4. Of buckets with more than HOT_BLOCKS blocks of members outside that component, sets are not
+   sent to all blocks. In any one order of all shingles, two sets can only be similar if they
+   share one of the first n - ceil(n * percent / 100) + 1 of each, where n is the set's size. The
+   order puts rare shingles first, by counts in a table of RARITY_BUCKETS; the members are
+   grouped again by those shingles, and the groups go the way of 3. Texts made from one
+   template, which share a band but not their rare shingles, part here.
 
 No link between different texts that share a band is missed. With 24 bands of 4 rows two
 sets of similarity 0.85 fail to share a band with a chance of 2e-8, of 0.8 with one of 3e-6.
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm.shared import components, forget, small_batches, written
@@ -43,6 +43,9 @@ PERCENT = 85
 BANDS, ROWS = 24, 4
 SLOT_BITS = 20
 BLOCK_MEMBERS, BLOCK_WORDS = 256, 4 << 20
+HOT_BLOCKS = 8
+RARITY_BUCKETS = 1 << 18
+BLOOM_BITS = 1 << 25
 
 _K = BANDS * ROWS
 _state: dict[str, np.ndarray] = {}
@@ -119,16 +122,38 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _slots() -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(BLOOM_BITS)) for k in (1, 2)]
+
+
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of a fixed number of bits, as 64-bit words, merged before it comes to the driver."""
+    slots = ids.select(F.explode(F.array(*_slots())).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()  # BLOOM_BITS / 64 rows at most
+    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, set): the shingle sets, as sorted 64-bit words, of the wanted (id, set_key)."""
+    """(id, set): the shingle sets, as sorted 64-bit words, of the wanted (id, set_key).
+
+    Texts aren't shuffled: most unwanted rows are left out by a Bloom filter where they are read,
+    the sets of the others meet the wanted keys."""
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
+            keep = np.ones(batch.num_rows, bool)
+            for k in (2, 3):
+                slot = batch.column(k).to_numpy().astype(np.uint64)
+                keep &= (bloom.value[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            batch = batch.filter(pa.array(keep))
             sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["id", "set_key", "set"])
 
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(wanted, "id", "left_semi").mapInArrow(run, "id long, set_key binary, set binary")
+    found = texts.select("id", "text", *(c.alias(f"slot{k}") for k, c in enumerate(_slots()))).mapInArrow(run, "id long, set_key binary, set binary")
     return found.join(wanted, ["id", "set_key"], "left_semi").groupBy("id").agg(F.first("set").alias("set"))  # equal keys, equal sets
 
 
@@ -280,25 +305,37 @@ def _links_in_blocks(placed: DataFrame, known: DataFrame, percent: int) -> DataF
     return spread.mapInArrow(functools.partial(_check_blocks, percent=percent), "a long, b long")
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, label, set): (id, label, n, shingle), one row for each shingle."""
-    for batch in portions(batches, 64):
+def _rarity(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(RARITY_BUCKETS)).astype(np.int64)
+
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, label, set): the shingles in each bucket of rarity, one row a bucket and task."""
+    found = np.zeros(RARITY_BUCKETS, np.int64)
+    for batch in portions(batches):
+        found += np.bincount(_rarity(np.concatenate(list(_views(batch.column(2))))), minlength=RARITY_BUCKETS)
+    some = np.flatnonzero(found)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["rarity", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, label, set): (bucket, id, label, n), a row for each of the rarest shingles of a set."""
+    for batch in portions(batches):
         sets = list(_views(batch.column(2)))
         size = np.array([len(x) for x in sets])
-        wide = lambda k: pa.array(np.repeat(batch.column(k).to_numpy(), size))
-        yield pa.RecordBatch.from_arrays([wide(0), wide(1), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "label", "n", "shingle"])
+        rare = [x[np.argsort(counts[_rarity(x)], kind="stable")[: len(x) + (-percent * len(x)) // 100 + 1]] for x in sets]
+        of = np.repeat(np.arange(len(sets)), [len(x) for x in rare])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare).view(np.int64)), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(size[of])], ["bucket", "id", "label", "n"])
 
 
 def _by_rare_shingles(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Groups (bucket, id, label, n) of the members (id, label) by their rarest shingles: all similar pairs meet."""
-    rows = written(members.join(known, "id").select("id", "label", "set").mapInArrow(_exploded, "id long, label long, n long, shingle long"))
-    shared = rows.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
-    own = Window.partitionBy("id")
-    ranked = rows.join(shared, "shingle").select(
-        "id", "label", "n", "shingle", F.row_number().over(own.orderBy("sets", "shingle")).alias("rank"), F.count("*").over(own).alias("n_shared")
-    )
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return ranked.where(F.col("rank") <= prefix - (F.col("n") - F.col("n_shared"))).select(F.col("shingle").alias("bucket"), "id", "label", "n")
+    rows = written(members.join(known, "id").select("id", "label", "set"))
+    counts = np.zeros(RARITY_BUCKETS, np.int64)
+    for r in rows.mapInArrow(_shingle_counts, "rarity long, n long").groupBy("rarity").agg(F.sum("n").alias("n")).collect():  # RARITY_BUCKETS rows at most
+        counts[r.rarity] = r.n
+    shared = members.sparkSession.sparkContext.broadcast(counts)
+    return rows.mapInArrow(lambda batches: _prefixes(batches, shared.value, percent), "bucket long, id long, label long, n long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -331,7 +368,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     labelled = members.join(label, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("label"))
     # two members have been compared, as one of them was the pivot
     placed = written(_open_groups(labelled).where("n_main + n_rest > 2"))
-    large = _n_blocks("n_rest", "words_rest") > 1
+    large = _n_blocks("n_rest", "words_rest") > HOT_BLOCKS
     more = written(_links_in_blocks(placed.where(~large), known, percent))
     done = [reps, members, known, links, more, placed]
     hot = placed.where(large).select("id", "label").distinct()
