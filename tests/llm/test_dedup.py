@@ -158,7 +158,7 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def component_ids(docs):
+def component_ids(docs, percent=85):
     sets = [(d, shingles(t)) for d, t in docs]
     low = lambda d: (d is not None, d or 0)
     root = {d: d for d, _ in sets}
@@ -170,7 +170,7 @@ def component_ids(docs):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if x and y and a != b and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and a != b and 100 * len(x & y) >= percent * len(x | y):
                 p, q = sorted((find(a), find(b)), key=low)
                 root[q] = p
     return {d: (len(s), find(d)) for d, s in sets}

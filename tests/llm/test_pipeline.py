@@ -22,7 +22,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
             score = {r.doc_id: r.kept for r in quality.judge(frame(spark, docs), spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()}
             rows = [(d, t) for d, t in rows if not brute_measures(t)[-1] and score[d]]
         elif name == "near duplicates":
-            keep = component_ids(rows)
+            keep = component_ids(rows, percent=80)
             rows = [(d, t) for d, t in rows if keep[d][1] == d]
         elif name == "repeated passages":
             expected = removed_bytes(rows)

@@ -6,43 +6,19 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tests.llm import test_pipeline
 from tests.llm.helpers import ODD, frame, random_docs
-from tests.llm.test_dedup import component_ids, shingles
+from tests.llm.test_dedup import component_ids
 from webstrata.llm import html_text, quality, url_filter
 
 
-def components_at(docs, percent):
-    sets = [(d, shingles(t)) for d, t in docs]
-    low = lambda d: (d is not None, d or 0)
-    root = {d: d for d, _ in sets}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
-            if x and y and a != b and 100 * len(x & y) >= percent * len(x | y):
-                p, q = sorted((find(a), find(b)), key=low)
-                root[q] = p
-    return {d: (len(s), find(d)) for d, s in sets}
-
-
 def test_pipeline_links_from_080(spark):
     docs = random_docs(140, seed=21) + ODD
-    at_80, at_85 = components_at(docs, 80), component_ids(docs)
-    assert at_80 != at_85 == components_at(docs, 85)
+    at_80, at_85 = component_ids(docs, 80), component_ids(docs)
+    assert at_80 != at_85 == component_ids(docs, 85)
     got = corpus_pipeline.near_duplicates(spark, frame(spark, docs), "")
     assert sorted({r.doc_id for r in got.collect()}, key=str) == sorted({d for d, _ in docs if at_80[d][1] == d}, key=str)
 
 
-def test_pipeline_stages_with_links_from_080(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(test_pipeline, "component_ids", lambda docs: components_at(docs, 80))
-    test_pipeline.test_stages_equal_brute_force(spark, tmp_path)
-
-
 @pytest.mark.parametrize("size", ["0.001", "0.01"])
 def test_quality_verdicts_do_not_depend_on_size(spark, data, size):
     """Labelled documents of small tables are told apart too, and the same when every row stands there five times."""
