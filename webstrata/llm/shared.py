@@ -21,8 +21,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path in spark.checkpoint.dir; only where that is not set (local tests) a temporary folder."""
+    """A new path in spark.checkpoint.dir; only where that is not set in local mode (tests) a temporary folder."""
     top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not top:
         top = getattr(spark, "_webstrata_folder", None) or tempfile.mkdtemp(prefix="webstrata-")
         spark._webstrata_folder = top
