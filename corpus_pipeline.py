@@ -8,27 +8,38 @@ from webstrata.llm import bpe, decontamination, minhash, quality, queries, share
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules go."""
+    """Documents that fail the quality rules go.
+
+    Null and empty texts have no words and go; texts are read whole, whatever their length. Repeated rows get
+    equal verdicts and all stay or go. Null ids are judged like others. Columns, whatever their names, stay."""
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates, from a similarity of 0.8 on, the document with the smallest id stays.
+
+    Null and empty texts are nobody's duplicates and stay; a null id is the smallest; repeated rows are one
+    document and stay with it. Texts are read whole; columns, whatever their names, stay."""
     return minhash.one_of_each(docs, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 100 bytes and more that stand earlier in the corpus are cut out of the texts."""
+    """Passages of 100 bytes and more that stand earlier in the corpus are cut out of the texts.
+
+    All documents stay, a text may become empty, null texts stay null, characters aren't cut, and n_chars, if
+    there, is the new length. Of rows that share an id none is earlier. Other columns, whatever their names, stay."""
     return suffix_dedup.without_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go.
+
+    Null and empty texts have none and stay; texts are searched whole; repeated rows get equal verdicts."""
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of each document."""
+    """Token count and digests of each document row; null and empty texts have no tokens."""
     return bpe.tokenise(docs, queries.default_tokenizer())
 
 
@@ -45,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again. An empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
