@@ -42,9 +42,20 @@ def test_suffix_dedup_equals_brute_force(spark, hot):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id], r
 
 
-def test_longest_previous_factor():
-    data = np.array([b"b" * 100, b"a" * 100, b"b" * 100, b"c" * 100, b"a" * 100], "S100")
-    assert suffix_dedup.has_previous_factor(data, np.array([3, 2, 1, 0, 2])).tolist() == [True, False, False, False, False]
+def test_longest_previous_factors():
+    data = np.array([b"b" * 100, b"a" * 100, b"b" * 100, b"c" * 100, b"a" * 99 + b"b"], "S100")
+    assert suffix_dedup.longest_previous_factors(data, np.array([3, 2, 1, 0, 4])).tolist() == [100, 0, 0, 0, 99]
+    assert suffix_dedup.longest_previous_factors(data[:0], np.zeros(0, np.int64)).tolist() == []
+
+
+@pytest.mark.parametrize("letters, n, positions", [("ab", 1, 1), ("ab", 300, 300), ("ab\0", 257, 40), ("a", 64, 64), ("abcdefgh", 500, 500)])
+def test_longest_previous_factors_equal_brute_force(letters, n, positions):
+    r = random.Random(n)
+    strings = ["".join(r.choices(letters, k=12)).encode() for _ in range(n)]
+    position = [r.randrange(positions) for _ in range(n)]
+    shared = lambda x, y: next((k for k in range(12) if x[k] != y[k]), 12)
+    expected = [max((shared(x, y) for y, q in zip(strings, position) if q < p), default=0) for x, p in zip(strings, position)]
+    assert suffix_dedup.longest_previous_factors(np.array(strings, "S12"), np.array(position)).tolist() == expected
 
 
 def test_empty_tables(spark):

@@ -12,10 +12,10 @@ strings that occur twice matter and equal strings can be brought together by con
    and sorted. All copies of a context but the first are removed whole. A gram with one
    context is settled with that, as all inside of repeated passages is; so only the first
    copies of contexts at the edges of repeats are left.
-3. The bytes of those contexts are fetched, put in suffix order (to the depth of MATCH
-   bytes) and, in that order, the previous and the next smaller position of each suffix
-   is found. If either shares MATCH bytes with it, its longest previous factor is at
-   least that long and its string goes.
+3. The bytes of those contexts are fetched and put in suffix order (to the depth of MATCH
+   bytes). There the previous and the next smaller position of each suffix and the bytes
+   shared with them give the array of longest previous factors; a string whose factor is
+   MATCH bytes long goes.
 
 Copies of a context within one batch are settled before the shuffle, so a hot passage
 sends one row for each batch. Grams with more than HOT edge contexts don't go to one task:
@@ -162,23 +162,52 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(ident, pa.int64()), pa.array(start, pa.int64()), pa.array(body, pa.binary())], ["gram", "id", "start", "body"])
 
 
-def has_previous_factor(windows: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """For strings of equal length and their positions: is the longest previous factor that long?
+def _minima(values: np.ndarray) -> list[np.ndarray]:
+    """Least values of all runs of 1, 2, 4, ... places: entry s of level k is min(values[s : s + 2**k])."""
+    levels = [values]
+    while len(levels[-1]) > (width := 1 << (len(levels) - 1)):
+        levels.append(np.minimum(levels[-1][:-width], levels[-1][width:]))
+    return levels
+
+
+def _shared_with_previous_smaller(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place in suffix order: the bytes shared with the last place before it that has a smaller
+    position; 0 if there is none. common[r] is what places r - 1 and r share."""
+    n = len(position)
+    place, back = np.arange(n), np.zeros(n, np.int64)  # back: places before that have no smaller position
+    for k, least in reversed([*enumerate(_minima(position))]):
+        start = place - back - (1 << k)
+        ok = np.flatnonzero(start >= 0)
+        ok = ok[least[start[ok]] >= position[ok]]
+        back[ok] += 1 << k
+    out = np.zeros(n, common.dtype)
+    have = np.flatnonzero(back < place)
+    level = np.frexp((back[have] + 1).astype(np.float64))[1] - 1  # the longest run that fits between the two
+    for k, least in enumerate(_minima(common)):
+        at = have[level == k]
+        out[at] = np.minimum(least[at - back[at]], least[at + 1 - (1 << k)])
+    return out
+
+
+def longest_previous_factors(windows: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """The longest previous factor, up to their length, of each of some strings of equal length.
 
-    In suffix order, strings that agree in full stand together. One has a previous factor of
-    full length iff the previous smaller or the next smaller position within those is there."""
-    n = len(windows)
+    Strings are put in suffix order, and the bytes that neighbours share are counted. The longest factor that
+    also starts at a smaller position is shared with the nearest place, before or after, that has a smaller
+    position: whatever is shared with one farther off is shared with that one too. Equal positions are the
+    same place of a text and aren't before each other."""
+    n, width = len(windows), windows.dtype.itemsize
+    if n == 0:
+        return np.zeros(0, np.int64)
     order = np.argsort(windows, kind="stable")
-    ranked, pos = windows[order], position[order]
-    run = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])]) if n else order
-    span = int(position.max()) + 1 if n else 1
-    before = np.minimum.accumulate(pos - run * span)  # starts anew at each run
-    after = np.minimum.accumulate((pos + run * span)[::-1])[::-1]
-    has = np.zeros(n, bool)
-    has[1:] = (run[1:] == run[:-1]) & (before[:-1] < pos[1:] - run[1:] * span)
-    has[:-1] |= (run[1:] == run[:-1]) & (after[1:] < pos[:-1] + run[:-1] * span)
-    out = np.empty(n, bool)
-    out[order] = has
+    body, pos = windows[order].view(np.uint8).reshape(n, width), position[order]
+    differ = body[1:] != body[:-1]
+    common = np.zeros(n, np.uint16)
+    common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    before = _shared_with_previous_smaller(pos, common)
+    after = _shared_with_previous_smaller(pos[::-1], np.concatenate([common[:1], common[:0:-1]]))[::-1]
+    out = np.empty(n, np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
@@ -224,7 +253,7 @@ def _factor_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         new[1:] = where[order][1:] != where[order][:-1]
         position = np.empty(len(order), np.int64)
         position[order] = np.cumsum(new)
-        return _spans(ident, start, has_previous_factor(strings, position), source, offset)
+        return _spans(ident, start, longest_previous_factors(strings, position) == MATCH, source, offset)
 
     last = None
     for batch in batches:
