@@ -9,7 +9,7 @@ import pytest
 from tests.llm.helpers import ODD, frame, random_docs
 from webstrata.llm import bpe, decontamination, html_text, quality
 from webstrata.llm.queries import default_tokenizer
-from webstrata.llm.textbytes import ASCII_SPACE, blocks, keyed_hashes, prefix_hashes, slice_hashes, words
+from webstrata.llm.textbytes import ASCII_SPACE, BLOCK_BYTES, blocks, keyed_hashes, prefix_hashes, slice_hashes, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -60,6 +60,23 @@ def test_decontamination_of_empty_tables(spark):
     assert decontamination.contamination(frame(spark, []), none).collect() == []
 
 
+def test_a_pass_builds_each_slice_once(monkeypatch):
+    """However many blocks and batches a pass has, and with the same result as all items in one matcher."""
+    items = [(i, f"w{i} " * 12) for i in range(6)]
+    slices = [type("Sent", (), {"value": items[k : k + 2]}) for k in (0, 2, 4)]
+    texts = [f"start {'w%d ' % (i % 9) * 12} end " * 700 for i in range(120)]
+    batches = [pa.record_batch([pa.array(range(k, k + 40)), pa.array(texts[k : k + 40])], ["doc_id", "text"]) for k in (0, 40, 80)]
+    built, build = [], decontamination.Matcher
+    monkeypatch.setattr(decontamination, "Matcher", lambda own: built.append(own) or build(own))
+    passes = list(decontamination._passes(iter(batches), slices))
+    assert [p.num_rows for p in passes] == [120] and passes[0].nbytes > 4 * BLOCK_BYTES
+    found = decontamination.scan(passes[0].column(1), decontamination._matchers(slices))
+    assert len(built) == 3
+    assert found == decontamination.scan(pa.array(texts), [build(items)]) and sum(found[1]) > 0
+    monkeypatch.setattr(decontamination, "PASS_BYTES", 1)
+    assert sum(p.num_rows for p in decontamination._passes(iter(batches), slices)) == 120
+
+
 def test_matcher_skips():
     """Most positions of a text are never looked at."""
     m = decontamination.Matcher([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda")])

@@ -27,6 +27,7 @@ from webstrata.llm.textbytes import LOWER, blocks, portions
 
 WINDOW_WORDS = 10
 SLICE_BYTES = 8 << 20
+PASS_BYTES = 64 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -138,30 +139,32 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     keep = word | (text == 0)
     keep[1:] |= word[:-1]
     text = text[keep]
-    before = np.zeros(len(text) + 1, np.int64)
-    np.cumsum(text == 0x20, out=before[1:])
-    return text, before, np.concatenate([[0], before[np.flatnonzero(text == 0)]])
+    return text, np.concatenate([[0], np.cumsum(text == 0x20)[text == 0]])
 
 
-def scan(column: pa.Array, matchers: list[Matcher]) -> tuple[list[int], list[int], list[list]]:
-    """For each text: words, words inside occurrences, and the items (sorted as strings) with occurring windows."""
-    n_words, n_hit, items = [], [], []
+def scan(column: pa.Array, matchers: Iterable[Matcher]) -> tuple[list[int], list[int], list[list]]:
+    """For each text: words, words inside occurrences, and the items (sorted as strings) with occurring windows.
+
+    Each matcher is taken once and searches all texts before the next one is, so that matchers may be built on the way."""
+    parts, n_words = [], []
     for first, last, data, offsets in blocks(column):
-        text, before, words_at = normalised(data, offsets)
-        cover = np.zeros(int(words_at[-1]) + 1, np.int64)
-        found: list[set] = [set() for _ in range(last - first)]
-        for matcher in matchers:
+        text, words_at = normalised(data, offsets)
+        n_words += np.diff(words_at).tolist()
+        parts.append((text, words_at, np.zeros(int(words_at[-1]) + 1, np.int32), [set() for _ in range(last - first)]))
+    for matcher in matchers:
+        for text, words_at, cover, found in parts:
             hits = matcher.search(text)
             if not hits:
                 continue
             start, pattern = np.array(hits).T
-            word = before[start]
+            word = np.cumsum(text == 0x20)[start - 1] * (start > 0)
             np.add.at(cover, word, 1)
             np.add.at(cover, word + matcher.n_words[pattern], -1)
             for d, k in zip(np.searchsorted(words_at, word, "right") - 1, pattern):
                 found[d].update(matcher.owners[k])
+    n_hit, items = [], []
+    for _, words_at, cover, found in parts:
         inside = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
-        n_words += np.diff(words_at).tolist()
         n_hit += np.diff(inside[words_at]).tolist()
         items += [sorted(x, key=str) for x in found]
     return n_words, n_hit, items
@@ -201,7 +204,7 @@ class _Lazy:
 
 
 def _matchers(shared: list):
-    """A worker builds the matcher of a single slice once; of several, each anew for each batch."""
+    """A worker builds the matcher of a single slice once; of several, each anew for each PASS_BYTES of texts."""
     if len(shared) != 1:
         return _Lazy(shared)
     items = shared[0].value
@@ -211,6 +214,23 @@ def _matchers(shared: list):
     return [_ready[id(items)]]
 
 
+def _passes(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[pa.RecordBatch]:
+    """The batches in portions; where the benchmark has several slices, portions together up to PASS_BYTES, so
+    that building the tables of a slice is little beside searching with them."""
+    if len(shared) < 2:
+        yield from portions(batches)
+        return
+    held, size = [], 0
+    for part in portions(batches):
+        if held and size + part.nbytes > PASS_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(part)
+        size += part.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -221,7 +241,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shared = matchers_of(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
+        for batch in _passes(batches, shared):
             n_words, n_hit, items = scan(batch.column(1), _matchers(shared))
             names = [[str(x) for x in own] for own in items]
             yield pa.RecordBatch.from_arrays(
@@ -241,7 +261,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
+        for batch in _passes(batches, shared):
             _, n_hit, _ = scan(batch.column(at), _matchers(shared))
             yield batch.filter(pa.array([x == 0 for x in n_hit], pa.bool_()))
 
