@@ -108,3 +108,33 @@ def test_back_off(spark, tmp_path):
     stream = feeds.retries(feeds.table_stream(spark, str(tmp_path / "in"), "warc_id long, at long, failed boolean"))
     feeds.run_once(stream, feeds.append_once(str(tmp_path / "out")), str(tmp_path / "state"), "update")
     assert {r.warc_id: r.due for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: False, 2: True, 3: True}
+
+
+def test_only_repeated_indexing_collapses(spark):
+    rows = [(1, 5, 2), (2, 5, 2), (3, 5, -2), (4, 5, -2), (5, 5, 2), (6, 6, 2), (7, 5, None), (8, 5, 2)]
+    history = spark.createDataFrame(rows, "id long, warc_id long, warc_state_id int")
+    assert sorted(r.id for r in C.collapse_states(history).collect()) == [2, 3, 4, 5, 6, 7, 8]
+    assert sorted(r.id for r in C.collapse_states(history, -2).collect()) == [1, 2, 4, 5, 6, 7, 8]
+
+
+def test_states_of_history(spark):
+    files = spark.createDataFrame([(1, 0, "a"), (2, 1, "b")], "id long, warc_state_id int, filename string")
+    history = spark.createDataFrame([(1, 1, 2), (2, 1, 3), (3, 9, 2)], "id long, warc_id long, warc_state_id int")
+    out = C.with_states(files, history)
+    assert out.columns == files.columns
+    assert sorted(map(tuple, out.collect())) == [(1, 3, "a"), (2, 1, "b")]
+
+
+def test_updated(spark):
+    table = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, None, 7)], "id long, name string, n int")
+    changes = spark.createDataFrame([("x", 2), ("z", 2), (None, 1), ("new", 9)], "name string, id long")
+    assert sorted(map(tuple, R.updated(table, changes, ["id"]).collect()), key=str) == [(1, None, 5), (2, "z", 6), (3, None, 7)]
+    assert sorted(map(tuple, R.updated(table, changes.limit(0), ["id"]).collect()), key=str) == sorted(map(tuple, table.collect()), key=str)
+
+
+@pytest.mark.parametrize("host,expected", [("a.b.com.sg", "b.com.sg"), ("com.sg", "com.sg"), ("x.y.k.z.us", "y.k.z.us"), ("q.z.us", "z.us"), ("www.a.co.uk", "co.uk"), ("1.2.3.4", "1.2.3.4")])
+def test_site_by_own_suffixes(spark, host, expected):
+    from webstrata.functions import urls as U
+
+    df = spark.createDataFrame([(f"http://{host}/",)], "url string")
+    assert df.select(U.site(F.col("url"), ["com.sg", "k.z.us"]).alias("s")).first().s == expected

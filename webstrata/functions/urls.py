@@ -7,6 +7,7 @@ lower-cased, a leading `www`, `www1`, ... goes, and its labels are reversed:
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -55,11 +56,17 @@ def comparison_key(url: Column) -> Column:
 TWO_LABEL_SUFFIXES = ("com.au", "net.au", "org.au", "edu.au", "gov.au", "asn.au", "id.au", "co.uk", "org.uk", "ac.uk", "gov.uk", "co.nz", "org.nz", "govt.nz", "ac.nz", "co.jp", "com.br", "co.za")
 
 
-def site(url: Column) -> Column:
+def site(url: Column, suffixes: Collection[str] = TWO_LABEL_SUFFIXES) -> Column:
     """The registrable domain of a url: one label more than its public suffix; for hosts of a
-    single label, or numbers, the host without www; for urls without host the url itself."""
+    single label, or numbers, the host without www; for urls without host the url itself.
+
+    `suffixes` are the public suffixes of two and more labels that count, such as those of a full list;
+    the longest one that a host ends with holds, and other hosts have a suffix of one label."""
     h = host(add_implicit_scheme(url))
-    n = F.when(F.substring_index(h, ".", -2).isin(*TWO_LABEL_SUFFIXES), 3).otherwise(2)
+    n = F.lit(2)
+    for labels in sorted({s.count(".") + 1 for s in suffixes}):
+        own = [s for s in suffixes if s.count(".") + 1 == labels]
+        n = F.when(F.substring_index(h, ".", -labels).isin(*own), labels + 1).otherwise(n)
     labels = F.split(h, "[.]")
     named = F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
     return F.when(h == "", url).when(h.rlike(r"^[0-9.]+$") | (F.size(labels) < n), without_www(h)).otherwise(named)

@@ -68,12 +68,24 @@ def state_name(state: Column) -> Column:
     return F.coalesce(F.try_element_at(names, state), F.concat(F.lit("unknown_"), state.cast("string")))
 
 
-def collapse_states(history: DataFrame) -> DataFrame:
-    """History without repeats: of consecutive rows of a file with the same state, by id, the last one.
+INDEXED = 2
 
-    A file that is indexed again thus has one row, with its newest time."""
+
+def collapse_states(history: DataFrame, state: int = INDEXED) -> DataFrame:
+    """History in which a file that gets `state` again, without another state in between, by id, has only the
+    last of these rows, with its newest time. Repeats of other states, such as errors, are events of their own."""
     following = F.lead("warc_state_id").over(Window.partitionBy("warc_id").orderBy("id"))
-    return history.withColumn("_next", following).where("_next is null or _next <> warc_state_id").drop("_next")
+    again = F.coalesce((F.col("warc_state_id") == state) & (F.col("_next") == state), F.lit(False))
+    return history.withColumn("_next", following).where(~again).drop("_next")
+
+
+def with_states(files: DataFrame, history: DataFrame) -> DataFrame:
+    """Files with the state of their latest history row; files without history keep theirs.
+
+    A state change is a row appended to the history, and this gives the files after it."""
+    now = latest(history, "warc_id").select(F.col("warc_id").alias("id"), F.col("warc_state_id").alias("_state"))
+    state = F.coalesce("_state", "warc_state_id").alias("warc_state_id")
+    return files.join(now, "id", "left").select(*(state if c == "warc_state_id" else c for c in files.columns))
 
 
 def visible(series: DataFrame, agency_id: int | None, see_all: bool = False) -> DataFrame:
@@ -102,5 +114,5 @@ def data_api_page(warcs: DataFrame, allowed_crawls: DataFrame, base_url: str, nu
     rows = page(warcs.join(allowed_crawls.select(F.col("id").alias("crawl_id")), "crawl_id", "left_semi"), ["filename", "id"], number, size)
     return rows.select(
         F.concat(F.lit(f"{base_url}/data/warcs/"), F.col("id").cast("string")).alias("url"), F.concat(F.lit(f"{base_url}/data/text/"), F.col("id").cast("string")).alias("text_url"),
-        "filename", "size", "records", "record_bytes", "start_time", "end_time",
+        "filename", "size", "sha256", "records", "record_bytes", "start_time", "end_time",
     )

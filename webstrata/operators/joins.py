@@ -65,6 +65,12 @@ def registry_agencies(agency: DataFrame, organisation: DataFrame) -> DataFrame:
     return agency.join(own, "organisation_id", "left").select(F.col("agency_id").alias("id"), "name", "url", "abbreviation")
 
 
+def subjects_of_parent(subjects: DataFrame, parent_id: int) -> DataFrame:
+    """(id, name, parent_id) of the subjects right below a subject, by name."""
+    own = subjects.where(F.col("subject_parent_id") == parent_id).orderBy("subject_name", "subject_id")
+    return own.select(F.col("subject_id").alias("id"), F.col("subject_name").alias("name"), F.col("subject_parent_id").alias("parent_id"))
+
+
 def subjects_of_collection(subjects: DataFrame, members: DataFrame, collection_id: int) -> DataFrame:
     """(id, name, parent_id) of the subjects of a registry collection."""
     return subjects.join(members.where(F.col("col_id") == collection_id).select("subject_id"), "subject_id").select(F.col("subject_id").alias("id"), F.col("subject_name").alias("name"), F.col("subject_parent_id").alias("parent_id"))
@@ -159,5 +165,10 @@ def seeds_with_titles(seeds: DataFrame, titles: DataFrame) -> DataFrame:
     return titles.where("key is not null").join(_seed_of_key(seeds), "key").select("seed_id", "surt", "pi", F.col("name").alias("title"))
 
 
+def matches_in_order(seeds: DataFrame, titles: DataFrame) -> DataFrame:
+    """The rows of `seeds_with_titles` sorted by SURT, then seed and title."""
+    return seeds_with_titles(seeds, titles).orderBy("surt", "seed_id", "pi")
+
+
 def seeds_without_title(seeds: DataFrame, titles: DataFrame) -> DataFrame:
     return _seed_of_key(seeds).join(titles.where("key is not null").select("key").distinct(), "key", "left_anti").select("seed_id", "surt")

@@ -149,6 +149,15 @@ def upserted(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return table.join(new.select(*key), key, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
 
 
+def updated(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+    """The table with the other columns of `changes` set, also to null, in the rows with their keys; keys that
+    the table doesn't have are left out. Of changes with one key, the greatest."""
+    fields = [c for c in changes.columns if c not in key]
+    new = changes.groupBy(*key).agg(F.max(F.struct(*fields)).alias("_new"))
+    value = lambda c: F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c)
+    return table.join(new, key, "left").select(*(value(c) if c in fields else c for c in table.columns))
+
+
 def replaced(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """The table with all rows of the keys that `rows` has replaced by these."""
     return table.join(rows.select(*key).distinct(), key, "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))

@@ -79,6 +79,54 @@ def artifact_lookups(v: Views) -> DataFrame:
     return C.matching(v.artifact, crawl_id=3).unionByName(C.matching(v.artifact, id=12))
 
 
+@query("select * from crawl where 'tool-' || cast(id as varchar) = 'tool-9'")
+def crawl_by_capture_tool(v: Views) -> DataFrame:
+    crawls = v.crawl.withColumn("capture_tool_id", F.concat(F.lit("tool-"), F.col("id").cast("string")))
+    return C.matching(crawls, capture_tool_id="tool-9").drop("capture_tool_id")
+
+
+@query("select a.* from artifact a join artifact k on k.crawl_id = a.crawl_id and k.relpath = a.relpath where k.id = 12")
+def artifact_by_crawl_and_path(v: Views) -> DataFrame:
+    """All artifacts at the place of one of them."""
+    place = C.matching(v.artifact, id=12).select("crawl_id", "relpath")
+    return v.artifact.join(place, ["crawl_id", "relpath"], "left_semi").select(*v.artifact.columns)
+
+
+@query("""select cs.collection_id, w.id warc_id, w.records, w.record_bytes from warc w join crawl c on c.id = w.crawl_id join collection_series cs on cs.crawl_series_id = c.crawl_series_id
+    where cs.collection_id = 3 and w.id = (select min(w.id) from warc w join crawl c on c.id = w.crawl_id join collection_series cs on cs.crawl_series_id = c.crawl_series_id where cs.collection_id = 3)""")
+def collection_file_by_key(v: Views) -> DataFrame:
+    """What one file contributes to one collection, by the key of both."""
+    crawls = v.crawl.select(F.col("id").alias("crawl_id"), "crawl_series_id")
+    rows = v.warc.join(crawls, "crawl_id").join(v.collection_series, "crawl_series_id").select("collection_id", F.col("id").alias("warc_id"), "records", "record_bytes")
+    own = C.matching(rows, collection_id=3)
+    return own.where(F.col("warc_id") == own.agg(F.min("warc_id")).scalar())
+
+
+@query("select * from collection where id = 4")
+def collection_by_id(v: Views) -> DataFrame:
+    return C.matching(v.collection, id=4)
+
+
+@query("select * from collection order by name, id")
+def collections_by_name(v: Views) -> DataFrame:
+    return v.collection.orderBy("name", "id")
+
+
+@query("select seedlist_id id, count(*) total_seeds from seed group by seedlist_id")
+def seedlists(v: Views) -> DataFrame:
+    return v.seed.groupBy(F.col("seedlist_id").alias("id")).agg(F.count("*").alias("total_seeds"))
+
+
+@query("""select w.id, w.crawl_id, w.filename, coalesce(n.s, h.warc_state_id, w.warc_state_id) warc_state_id from warc w left join (select warc_id, arg_max(warc_state_id, id) warc_state_id from warc_history group by warc_id) h on h.warc_id = w.id
+    left join (select id, -4 s from warc where id % 6 = 0) n on n.id = w.id""")
+def file_states_after_changes(v: Views) -> DataFrame:
+    """The states of all files after a batch of changes has been appended to the history."""
+    later = v.warc_history.agg(F.max("id")).scalar()
+    changes = v.warc.where("id % 6 = 0").select((F.col("id") + later).alias("id"), F.col("id").alias("warc_id"), F.lit(None).cast("timestamp_ntz").alias("time"), F.lit(-4).alias("warc_state_id"))
+    history = v.warc_history.withColumn("time", F.col("time").cast("timestamp_ntz")).unionByName(changes)
+    return C.with_states(v.warc.select("id", "crawl_id", "filename", "warc_state_id"), history)
+
+
 @query("select * from artifact where relpath like '%-language-buckets.tar.gz'")
 def language_artifacts(v: Views) -> DataFrame:
     return v.artifact.where(F.col("relpath").like("%-language-buckets.tar.gz"))
@@ -137,10 +185,10 @@ def role_permissions(v: Views) -> DataFrame:
     return C.permissions(v.table("region").select(F.col("r_name").alias("user"), role.alias("role")))
 
 
-@query("""select concat('https://catalogue.example/data/warcs/', cast(w.id as varchar)) url, concat('https://catalogue.example/data/text/', cast(w.id as varchar)) text_url, filename, size, records, record_bytes, start_time, end_time
+@query("""select concat('https://catalogue.example/data/warcs/', cast(w.id as varchar)) url, concat('https://catalogue.example/data/text/', cast(w.id as varchar)) text_url, filename, size, sha256(filename) sha256, records, record_bytes, start_time, end_time
     from warc w join crawl c on c.id = w.crawl_id where c.crawl_series_id in (1, 2, 3) order by filename, w.id limit 10000""")
 def data_api_page(v: Views) -> DataFrame:
-    return C.data_api_page(v.warc, v.crawl.where(F.col("crawl_series_id").isin(1, 2, 3)), "https://catalogue.example")
+    return C.data_api_page(v.warc.withColumn("sha256", F.sha2("filename", 256)), v.crawl.where(F.col("crawl_series_id").isin(1, 2, 3)), "https://catalogue.example")
 
 
 @query("select w.* from warc w join crawl c on c.id = w.crawl_id where c.crawl_series_id = 3 and w.id > 50 order by w.id limit 200")
@@ -192,7 +240,7 @@ def latest_state_per_file(v: Views) -> DataFrame:
     return C.latest(v.warc_history, "warc_id")
 
 
-@query("select id, warc_id, time, warc_state_id from (select *, lead(warc_state_id) over (partition by warc_id order by id) following from warc_history) where following is null or following <> warc_state_id")
+@query("select id, warc_id, time, warc_state_id from (select *, lead(warc_state_id) over (partition by warc_id order by id) following from warc_history) where warc_state_id <> 2 or following is null or following <> 2")
 def history_collapsed(v: Views) -> DataFrame:
     return C.collapse_states(v.warc_history)
 
@@ -253,6 +301,12 @@ def registry_agencies(v: Views) -> DataFrame:
     return J.registry_agencies(agency, organisation)
 
 
+@query("select cast(n_nationkey as bigint) id, n_name name, n_regionkey parent_id from nation where n_regionkey = 2 order by name, id")
+def registry_subjects_of_parent(v: Views) -> DataFrame:
+    subjects = v.table("nation").select(F.col("n_nationkey").cast("long").alias("subject_id"), F.col("n_name").alias("subject_name"), F.col("n_regionkey").alias("subject_parent_id"))
+    return J.subjects_of_parent(subjects, 2)
+
+
 @query("select distinct cast(n_nationkey as bigint) id, n_name name, n_regionkey parent_id from nation where n_nationkey in (select p_size % 25 from part where p_brand = 'Brand#1')")
 def registry_subjects_of_collection(v: Views) -> DataFrame:
     subjects = v.table("nation").select(F.col("n_nationkey").cast("long").alias("subject_id"), F.col("n_name").alias("subject_name"), F.col("n_regionkey").alias("subject_parent_id"))

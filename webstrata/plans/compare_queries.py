@@ -62,6 +62,12 @@ def seed_registry_matches(v: Views) -> DataFrame:
     return J.seeds_with_titles(*_keyed(v))
 
 
+@query(f"select s.seed_id, s.surt, t.pi, t.name title from ({_SEEDS}) s join ({_TITLES}) t on t.k = s.k order by surt, seed_id, pi limit 50 offset 50")
+def seed_registry_matches_page(v: Views) -> DataFrame:
+    """The second page of the matches in their order."""
+    return J.matches_in_order(*_keyed(v)).offset(50).limit(50)
+
+
 @query(f"select s.seed_id, s.surt from ({_SEEDS}) s where s.k not in (select k from ({_TITLES}))")
 def seed_registry_unmatched(v: Views) -> DataFrame:
     return J.seeds_without_title(*_keyed(v))

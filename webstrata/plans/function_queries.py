@@ -39,6 +39,15 @@ def url_site(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", U.site(F.col("url")).alias("site"))
 
 
+@query("select page_id, 's' || page_id || case page_id % 5 when 0 then '.com.au' when 1 then '.co.uk' when 2 then '.com.sg' when 3 then '.lib.example.us' else '.org' end site from pages")
+def url_site_by_suffix(v: Views) -> DataFrame:
+    """Sites below suffixes of one, two and three labels, with a list of suffixes of the caller's."""
+    p = F.col("page_id")
+    suffix = F.when(p % 5 == 0, ".com.au").when(p % 5 == 1, ".co.uk").when(p % 5 == 2, ".com.sg").when(p % 5 == 3, ".lib.example.us").otherwise(".org")
+    url = F.concat(F.lit("https://www.Inner.s"), p.cast("string"), suffix, F.lit("/a.co.uk"))
+    return v.table("pages").select("page_id", U.site(url, {*U.TWO_LABEL_SUFFIXES, "com.sg", "lib.example.us"}).alias("site"))
+
+
 @query("select page_id, regexp_replace(url, '#.*', '') url from pages")
 def url_clean(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", U.clean_url(F.concat(F.upper(F.substring_index("url", "://", 1)), F.lit("://"), F.substring_index("url", "://", -1))).alias("url"))
@@ -157,11 +166,11 @@ def date_conversion(v: Views) -> DataFrame:
     return v.table("orders").select("o_orderkey", D.to_arc_date(iso).alias("arc_date"), D.parse_arc_date(D.to_arc_date(iso)).cast("timestamp_ntz").alias("parsed"))
 
 
-@query("select o_orderkey, case o_orderkey % 3 when 2 then '20000929004850' when 1 then strftime(o_orderdate, '%Y%m%d%H%M%S') else concat(strftime(o_orderdate, '%Y%m%d%H%M'), '00') end repaired from orders")
+@query("select o_orderkey, case o_orderkey % 3 when 2 then '20110705003122' when 1 then strftime(o_orderdate, '%Y%m%d%H%M%S') else concat(strftime(o_orderdate, '%Y%m%d%H%M'), '00') end repaired from orders")
 def date_repair(v: Views) -> DataFrame:
-    """Whole dates, dates without seconds, and one with a `00` too many."""
+    """Whole dates, dates without seconds, and one with one `00` or two too many."""
     k = F.col("o_orderkey") % 3
-    damaged = F.when(k == 2, "2000092900480050").when(k == 1, F.date_format("o_orderdate", "yyyyMMddHHmmss")).otherwise(F.date_format("o_orderdate", "yyyyMMddHHmm"))
+    damaged = F.when(F.col("o_orderkey") % 6 == 5, "201107050000310022").when(k == 2, "2011070500310022").when(k == 1, F.date_format("o_orderdate", "yyyyMMddHHmmss")).otherwise(F.date_format("o_orderdate", "yyyyMMddHHmm"))
     return v.table("orders").select("o_orderkey", D.repair(damaged).alias("repaired"))
 
 

@@ -164,6 +164,21 @@ def agencies_upserted(v: Views) -> DataFrame:
     return R.upserted(v.agency, new.unionByName(extra), ["id"])
 
 
+@query("select id, case when id % 4 = 1 then upper(name) || '!' else name end name, crawl_series_id, case when id % 4 = 1 then null else state end state, instance_id from crawl")
+def crawls_updated(v: Views) -> DataFrame:
+    """Two fields of some crawls set, one of them to null; a change of an unknown crawl does nothing."""
+    known = v.crawl.where("id % 4 = 1").select("id", F.concat(F.upper("name"), F.lit("!")).alias("name"), F.lit(None).cast("int").alias("state"))
+    return R.updated(v.crawl, known.unionByName(known.select((-F.col("id") - 1).alias("id"), "name", "state")), ["id"])
+
+
+@query("select collection_id, crawl_series_id from collection_series where crawl_series_id % 5 <> 1 union all select id, s from (select distinct crawl_series_id s from collection_series where crawl_series_id % 5 = 1), collection where id in (1, 2)")
+def series_collections_replaced(v: Views) -> DataFrame:
+    """The collections of some series replaced by two others."""
+    series = v.collection_series.where("crawl_series_id % 5 = 1").select("crawl_series_id").distinct()
+    rows = series.select(F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("collection_id"), "crawl_series_id")
+    return R.replaced(v.collection_series, rows, ["crawl_series_id"])
+
+
 @query("select crawl_id, language, cast(sum(pages) as bigint) pages from language_bucket where crawl_id >= 10 group by all union all select id, 'xx', 5 from crawl where id < 10 and id % 2 = 0 union all select crawl_id, language, cast(sum(pages) as bigint) from language_bucket where crawl_id < 10 and crawl_id % 2 = 1 group by all")
 def language_rows_replaced(v: Views) -> DataFrame:
     rows = v.crawl.where("id < 10 and id % 2 = 0").select(F.col("id").alias("crawl_id"), F.lit("xx").alias("language"), F.lit(5).cast("long").alias("pages"))
