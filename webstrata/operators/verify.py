@@ -41,6 +41,18 @@ def acquired(locks: DataFrame, wanted: DataFrame, now: int) -> DataFrame:
     return free.groupBy("name").agg(F.min("owner").alias("owner")).select("name", "owner", F.lit(now).cast("long").alias("checkin_time"), F.lit(now).cast("long").alias("acquire_time"))
 
 
+def renewed(locks: DataFrame, owner: str, now: int) -> DataFrame:
+    """The locks after their owner has checked in: its live ones are good for another term, expired ones stay so."""
+    alive = (F.col("owner") == owner) & (F.col("checkin_time") + LOCK_EXPIRY_SECONDS >= now)
+    return locks.withColumn("checkin_time", F.when(alive, F.lit(now).cast("long")).otherwise(F.col("checkin_time")))
+
+
+def released(locks: DataFrame, owner: str, names: list[str] | None = None) -> DataFrame:
+    """The locks without those of an owner, or without the named ones of them."""
+    own = F.col("owner").eqNullSafe(F.lit(owner))
+    return locks.where(~(own if names is None else own & F.coalesce(F.col("name").isin(*names), F.lit(False))))
+
+
 def sweep_due(last_sweep_millis: int, now_millis: int) -> bool:
     return now_millis - last_sweep_millis >= STALE_SWEEP_MILLIS
 

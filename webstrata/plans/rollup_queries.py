@@ -233,6 +233,12 @@ def locks_acquired(v: Views) -> DataFrame:
     return V.acquired(_locks(v), _locks(v).select("name", "owner"), 1_000_000)
 
 
+@query(f"select name, owner, case when owner = 'owner-3' and checkin_time + 120 >= 1000000 then 1000000 else checkin_time end checkin_time from ({_LOCK}) where owner <> 'owner-4'")
+def locks_after_heartbeat(v: Views) -> DataFrame:
+    """One owner has checked in, and another has let its locks go."""
+    return V.renewed(V.released(_locks(v), "owner-4"), "owner-3", 1_000_000)
+
+
 @query("select cast(l_orderkey as varchar) filename, min(l_partkey) as position from lineitem where l_returnflag = 'R' group by l_orderkey")
 def first_unreadable_record(v: Views) -> DataFrame:
     return V.first_unreadable(v.table("lineitem").select(F.col("l_orderkey").cast("string").alias("filename"), F.col("l_partkey").alias("position"), (F.col("l_returnflag") != "R").alias("parsed")))

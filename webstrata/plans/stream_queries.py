@@ -28,13 +28,8 @@ def _events(v: Views, to: str) -> DataFrame:
 @query("select warc_id, id, time, warc_state_id from (select *, row_number() over (partition by warc_id order by id desc) rn from warc_history) where rn = 1")
 def stream_latest_state(v: Views) -> DataFrame:
     top = _folder(v.spark)
-    stream = feeds.latest_state(_events(v, f"{top}/in"))
-
-    def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{top}/out")
-
-    feeds.run_once(stream, write, f"{top}/state", "complete")
-    return v.spark.read.parquet(f"{top}/out")
+    feeds.run_once(feeds.latest_state(_events(v, f"{top}/in")), feeds.append_once(f"{top}/out"), f"{top}/state", "update")
+    return feeds.merged(v.spark, f"{top}/out", ["warc_id"], "id")
 
 
 @query("select id, warc_id, warc_state_id from warc_history")
@@ -61,14 +56,11 @@ def stream_growing_files(v: Views) -> DataFrame:
 
 @query("select cast(date_trunc('hour', time) as timestamp) as hour, warc_state_id, count(*) n from warc_history group by all")
 def stream_hourly_changes(v: Views) -> DataFrame:
+    """Ids aren't in order of time, so the watermark is wider than the whole history."""
     top = _folder(v.spark)
-    stream = feeds.hourly_changes(_events(v, f"{top}/in"))
-
-    def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{top}/out")
-
-    feeds.run_once(stream, write, f"{top}/state", "complete")
-    return v.spark.read.parquet(f"{top}/out").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "warc_state_id", "n")
+    stream = feeds.hourly_changes(_events(v, f"{top}/in"), "4000 days")
+    feeds.run_once(stream, feeds.append_once(f"{top}/out"), f"{top}/state", "update")
+    return feeds.merged(v.spark, f"{top}/out", ["window", "warc_state_id"], "n").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "warc_state_id", "n")
 
 
 @query("""select warc_id, bool_or(id % 3 <> 0 and id * 100 - coalesce(lf, -4611686018427387904) >= 3600) due

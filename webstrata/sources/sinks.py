@@ -22,8 +22,9 @@ def write_index_lines(lines: DataFrame, path: str) -> None:
 
 def publish(lines: DataFrame, url: str, send=None, batch: int = 10_000) -> int:
     """POST lines (line) to an index server in batches; an answer other than 200 is an error, which the
-    task's retry repeats. Returns the number of lines."""
+    task's retry repeats. Returns the number of lines, counted while they are sent."""
     send = send or _post
+    sent = lines.sparkSession.sparkContext.accumulator(0)
 
     def run(rows: Iterator) -> None:
         part: list[str] = []
@@ -31,12 +32,14 @@ def publish(lines: DataFrame, url: str, send=None, batch: int = 10_000) -> int:
             part.append(r.line)
             if len(part) >= batch:
                 send(url, "\n".join(part) + "\n")
+                sent.add(len(part))
                 part = []
         if part:
             send(url, "\n".join(part) + "\n")
+            sent.add(len(part))
 
     lines.select("line").foreachPartition(run)
-    return lines.count()
+    return sent.value
 
 
 def _post(url: str, body: str) -> None:

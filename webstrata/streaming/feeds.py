@@ -28,7 +28,7 @@ def archive_stream(spark: SparkSession, path: str, glob: str = "*.warc.gz") -> D
 
 
 def latest_state(history: DataFrame) -> DataFrame:
-    """(warc_id, id, time, warc_state_id) of each file's newest row, for update or complete mode. State: one row a file."""
+    """(warc_id, id, time, warc_state_id) of each file's newest row, for update mode. State: one row a file."""
     newest = F.max(F.struct("id", "time", "warc_state_id"))
     return history.groupBy("warc_id").agg(newest.alias("s")).select("warc_id", "s.id", "s.time", "s.warc_state_id")
 
@@ -95,6 +95,15 @@ def append_once(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def merged(spark: SparkSession, path: str, keys: list[str], newest: str) -> DataFrame:
+    """The table that a stream in update mode has written with `append_once`: of each key the row with the
+    greatest `newest`. A batch writes the keys that it changed, not the whole table."""
+    rows = spark.read.parquet(path).drop("batch")
+    fields = [c for c in rows.columns if c not in keys and c != newest]
+    top = rows.groupBy(*keys).agg(F.max(F.struct(newest, *fields)).alias("_top"))
+    return top.select(*(c if c in keys else F.col("_top")[c].alias(c) for c in rows.columns))
+
+
 def index_queue(spark: SparkSession, source: str, checkpoint: str, target: str, index: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Index the archives of a folder that have not been indexed yet; `index` makes rows of files (path, content)."""
     return run_once(archive_stream(spark, source), lambda batch, n: append_once(target)(index(batch), n), checkpoint)
