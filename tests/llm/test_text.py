@@ -186,6 +186,31 @@ def test_quality_separates_labelled_documents(spark, data, size):
 # tokens
 
 
+def test_very_long_words_equal_the_library():
+    import random
+    import tokenizers
+
+    library, own = tokenizers.Tokenizer.from_file(default_tokenizer()), bpe.Bpe(bpe.vocabulary(default_tokenizer()))
+    r = random.Random(3)
+    for word in ("a" * 100_001, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=60_000)), "".join(r.choices("éß中😀", k=5_000)), "=-" * 20_000, " " * 70_000):
+        assert own.encode(word) == library.encode(word, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("change,named", [
+    ({"normalizer": {"type": "NFC"}}, "normalizer"), ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, "pre_tokenizer.add_prefix_space"), ({"pre_tokenizer": None}, "pre_tokenizer.type"),
+    ({"added_tokens": [{"id": 50256, "content": "<x>", "lstrip": True}]}, "added_tokens.lstrip"), ({"model": {"type": "BPE", "ignore_merges": True}}, "model.ignore_merges"), ({"model": {"type": "WordPiece"}}, "model.type"),
+])
+def test_other_vocabularies_are_refused(tmp_path, change, named):
+    import json
+
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        data = json.load(f)
+    assert bpe.unsupported(data) == []
+    (tmp_path / "v.json").write_text(json.dumps(data | change))
+    with pytest.raises(ValueError, match=named):
+        bpe.vocabulary(str(tmp_path / "v.json"))
+
+
 def test_tokens_equal_the_library(spark):
     import tokenizers
 

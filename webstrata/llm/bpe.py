@@ -45,6 +45,29 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def unsupported(data: dict) -> list[str]:
+    """The settings of a vocabulary file that change its ids and that this encoder doesn't follow.
+
+    Truncation, padding and post-processing aren't used; all else must say what `Bpe` does: byte-level BPE
+    without normalising, the usual pattern, no space put in front, and added tokens found as they stand."""
+    model, before, after = data.get("model") or {}, data.get("pre_tokenizer") or {}, data.get("decoder") or {}
+    out = [f"model.{k}" for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    out += [k for k, ok in (
+        ("model.type", model.get("type", "BPE") == "BPE"), ("normalizer", not data.get("normalizer")), ("pre_tokenizer.type", before.get("type") == "ByteLevel"),
+        ("pre_tokenizer.add_prefix_space", not before.get("add_prefix_space", True)), ("pre_tokenizer.use_regex", before.get("use_regex", True)), ("decoder.type", after.get("type") == "ByteLevel"),
+    ) if not ok]
+    return out + [f"added_tokens.{k}" for k in ("single_word", "lstrip", "rstrip") if any(t.get(k) for t in data.get("added_tokens") or [])]
+
+
+def vocabulary(path: str) -> str:
+    """The text of a vocabulary file, read in the driver; a ValueError names settings that aren't supported."""
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    if found := unsupported(json.loads(spec)):
+        raise ValueError(f"{path}: not supported: {', '.join(found)}")
+    return spec
+
+
 class Bpe:
     def __init__(self, spec: str):
         data = json.loads(spec)
@@ -53,7 +76,7 @@ class Bpe:
         self.bytes_of = {i: raw(t) for t, i in data["model"]["vocab"].items()}
         self.id_of = {b: i for i, b in self.bytes_of.items()}
         size = max(self.bytes_of) + 1
-        self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
+        self.special = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
@@ -78,7 +101,6 @@ class Bpe:
         self.own = np.full(size, -1, np.int8)  # is a token its own encoding? -1: not yet known
         self.words: dict[str, tuple[str, int, bytes]] = {}
         self.find = regex.compile(PATTERN).findall
-        self.longest = max(map(len, self.id_of))
 
     def _trie(self) -> None:
         """Inner nodes have a row of 256 children each; a child is a node number or, for leaves, ~token."""
@@ -86,6 +108,7 @@ class Bpe:
         for b in self.id_of:
             for i in range(1, len(b)):
                 node.setdefault(b[:i], len(node))
+        self.inner = node.keys()  # what longer tokens begin with
         self.child = np.full((len(node), 256), np.iinfo(np.int32).min, np.int32)
         self.token = np.full(len(node), -1, np.int32)
         for b, i in self.id_of.items():
@@ -130,9 +153,13 @@ class Bpe:
         for i in long:
             w, p, tokens = words[i], 0, []
             while p < len(w):
-                t = next(t for n in range(min(self.longest, len(w) - p), 0, -1) if (t := self.id_of.get(w[p : p + n])) is not None)
-                tokens.append(t)
-                p += len(self.bytes_of[t])
+                n = best = 1
+                while p + n < len(w) and w[p : p + n] in self.inner:
+                    n += 1
+                    if w[p : p + n] in self.id_of:
+                        best = n
+                tokens.append(self.id_of[w[p : p + best]])
+                p += best
             out_lane.append(np.full(len(tokens), i))
             out_token.append(np.array(tokens, np.int64))
         if not out_lane:
@@ -284,11 +311,10 @@ def tokenise(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     """One row per document row: doc_id, n_tokens, ids_sha256, decoded_sha256. Narrow: no shuffle.
 
     `tokenizer` is the path of a byte-level BPE file, read in the driver and broadcast (a
-    vocabulary has a fixed size, about 1.5 MB). Texts are encoded whole; null and empty
+    vocabulary has a fixed size, about 1.5 MB); `vocabulary` refuses others. Texts are encoded whole; null and empty
     texts have no tokens. Repeated rows give a row each; other columns are not read."""
     small_batches(docs.sparkSession)
-    with open(tokenizer, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(shared)
@@ -316,8 +342,7 @@ def _valid(raw: bytes) -> bytes:
 def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, ids (array of int). See `tokenise`."""
     small_batches(docs.sparkSession)
-    with open(tokenizer, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(shared)
